@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets, url_rules
+from . import bpe, quality, secrets, simhash, url_rules
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_url_rules": url_rules.op3_url_rules,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_simhash": simhash.op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
