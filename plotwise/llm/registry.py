@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, secrets, simhash, url_rules
+from . import bpe, decontaminate, quality, repeats, secrets, simhash, url_rules, vectors
 
 QUERIES = {
+    "op1_near_vectors": vectors.op1_near_vectors,
     "op2_quality": quality.op2_quality,
     "op3_url_rules": url_rules.op3_url_rules,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op9_simhash": simhash.op9_simhash,
+    "op10_repeated_bytes": repeats.op10_repeated_bytes,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_near_vectors": vectors.ORACLE}
