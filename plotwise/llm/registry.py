@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, repeats, secrets, simhash, url_rules, vectors
+from . import bpe, decontaminate, licences, quality, quotes, repeats, secrets, simhash, url_rules, vectors
 
 QUERIES = {
     "op1_near_vectors": vectors.op1_near_vectors,
     "op2_quality": quality.op2_quality,
     "op3_url_rules": url_rules.op3_url_rules,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_quote_links": quotes.op5_quote_links,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_licences": licences.op8_licences,
     "op9_simhash": simhash.op9_simhash,
     "op10_repeated_bytes": repeats.op10_repeated_bytes,
 }
