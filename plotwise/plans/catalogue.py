@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from plotwise.plans import aggregates, joins
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (aggregates, joins):
+    QUERIES |= _module.q.queries
+    ORACLE_SQL |= _module.q.sql
