@@ -85,34 +85,30 @@ def loose_key(c: Column) -> Column:
     return F.when(c.rlike(r"^\d+ .+"), F.regexp_replace(c, rf"^(\d+ .+?) (?:{STREET_TYPES})$", "$1")).otherwise(c)
 
 
+def _cut_pattern(types: str, ignored: str) -> str:
+    """Civic number and street up to the first token that ends a street, where something else follows.
+
+    A type ends a street that has a name before it, so that "St" as "Saint" does not; Broadway and Kingsway end themselves.
+    """
+    own = "broadway|kingsway"
+    named = rf"(?!(?:{DIRECTIONS}) )(?!(?:{own}) )\S+ (?:\S+ )*?(?:{own}|{types})"
+    return rf"^(\d\S* (?:(?:{DIRECTIONS}) )*(?:(?:{own})|{named}))(?! (?:{ignored})(?: (?:{ignored}))*$) (.+)$"
+
+
+_CUT = _cut_pattern(f"{STREET_TYPES}|way|sq", DIRECTIONS)
+_LONG_TYPES = "|".join(dict.fromkeys([*(w for w, _ in TYPE_ABBREVIATIONS if not w.endswith(("west", "east"))), *STREET_TYPES.split("|")]))
+_SPLIT = "(?i)" + _cut_pattern(rf"(?:{_LONG_TYPES}|way|sq)\.?", rf"{DIRECTIONS}|(?:{_LONG_TYPES})\.?")
+
+
 def without_name(key: Column) -> Column:
     """The key cut after its street where a building name follows; null if nothing is to be cut."""
-    words = F.split(F.regexp_extract(key, r"^\d+ (.+)$", 1), " ")
-    is_direction = lambda t: t.rlike(rf"^({DIRECTIONS})$")
-    ends = lambda t, i: t.isin("broadway", "kingsway") | (
-        t.rlike(rf"^({STREET_TYPES}|way|sq)$") & F.exists(F.slice(words, F.lit(1), i), lambda x: ~is_direction(x))
-    )
-    marks = F.transform(words, lambda t, i: F.when(ends(t, i) & (i < F.size(words) - 1), i))
-    cut = F.array_min(marks)
-    rest = F.slice(words, cut + 2, F.greatest(F.size(words), F.lit(1)))
-    kept = F.concat_ws(" ", F.regexp_extract(key, r"^(\d+) ", 1), F.array_join(F.slice(words, F.lit(1), cut + 1), " "))
-    return F.when(key.rlike(r"^\d+ .+") & cut.isNotNull() & F.exists(rest, lambda x: ~is_direction(x)), kept)
+    return F.nullif(F.regexp_extract(key, _CUT, 1), F.lit(""))
 
 
 def split_name(address: Column) -> Column:
     """struct(address, name): a building name after the street, in its own spelling."""
     raw = F.regexp_replace(F.trim(address), r"(?U)\s+", " ")
-    tokens = F.split(raw, " ")
-    words = F.transform(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))), street)
-    is_direction = lambda t: t.rlike(rf"^({DIRECTIONS})$")
-    ends = lambda t, i: t.isin("broadway", "kingsway") | (
-        t.rlike(rf"^({STREET_TYPES}|way|sq)$") & F.exists(F.slice(words, F.lit(1), i), lambda x: ~is_direction(x))
-    )
-    cut = F.array_min(F.transform(words, lambda t, i: F.when(ends(t, i) & (i < F.size(words) - 1), i)))
-    after = F.slice(words, cut + 2, F.greatest(F.size(words), F.lit(1)))
-    named = (F.size(tokens) >= 3) & raw.rlike(r"^\d") & cut.isNotNull() & F.exists(after, lambda x: ~x.rlike(rf"^({DIRECTIONS}|{STREET_TYPES})$"))
-    found = F.struct(F.array_join(F.slice(tokens, F.lit(1), cut + 2), " ").alias("address"), F.array_join(F.slice(tokens, cut + 3, F.greatest(F.size(tokens), F.lit(1))), " ").alias("name"))
-    return F.when(named, found).otherwise(F.struct(raw.alias("address"), F.lit(None).cast("string").alias("name")))
+    return F.struct(F.coalesce(F.nullif(F.regexp_extract(raw, _SPLIT, 1), F.lit("")), raw).alias("address"), F.nullif(F.regexp_extract(raw, _SPLIT, 2), F.lit("")).alias("name"))
 
 
 def civic_and_street(key: Column) -> tuple[Column, Column]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from plotwise.plans import aggregates, joins
+from plotwise.plans import aggregates, joins, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (aggregates, joins):
+for _module in (aggregates, joins, texts):
     QUERIES |= _module.q.queries
     ORACLE_SQL |= _module.q.sql
