@@ -9,10 +9,11 @@ and n bytes on.  Positions are dropped as soon as their name is unique, so few e
 2. Anchors are sorted by name and by the name of all ``SIZE`` - ``GRAM`` bytes around them.  Where the name occurs once,
    no string with this anchor repeats.  Where the long name occurs again, everything around all but its first place
    repeats.  What is left are first places of long names whose short name has several: the edges of repeats.
-3. Only around these, the strings of ``SIZE`` bytes get their names, and are sorted; all but the first of a name go.
+3. Only around these, the strings of ``SIZE`` bytes get their names; all but the first of a name go.  They meet under
+   their anchor's name, or, where that is very frequent, under their own, so that no task gets them all.
 
 Equal names are handled where they are made, before any shuffle: of copies in one batch only the first goes on.  The
-sorted names are read as a stream, so that no group is ever held in memory.  Short names only select (a clash costs
+sorted names are read as a stream, so that no unbounded group is held in memory.  Short names only select (a clash costs
 time); long ones are 64 bits besides the short name's 64, and names of whole strings 128 bits.
 
 Defined cases: null and empty texts, and those shorter than ``SIZE`` bytes, lose nothing; matches never cross
@@ -31,8 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .components import apart
 
-SIZE, GRAM = 100, 36
+SIZE, GRAM, HOT = 100, 36, 1024
 REACH = SIZE - GRAM  # an anchor stands up to so many bytes after the start of its string
 SLICE = 1 << 20
 _BASE = np.random.default_rng(11).integers(1 << 20, 1 << 63, 256, dtype=np.uint64)
@@ -92,15 +94,18 @@ def _runs(positions: np.ndarray, chosen: np.ndarray) -> list[tuple[int, int]]:
     return [(int(positions[a]), int(positions[b - 1])) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def _first_of_each(order_by: list[np.ndarray], names: int) -> np.ndarray:
-    """Whether a row is the first, by all arrays, of those equal in the first ``names`` arrays."""
+def _first_of_each(order_by: list[np.ndarray], names: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows equal in the first ``names`` arrays: which is the first by all arrays, and which stand at another place."""
     order = np.lexsort(order_by[::-1])
+    ordered = [a[order] for a in order_by]
     new = np.ones(len(order), bool)
     if len(order) > 1:
-        new[1:] = np.any([a[order][1:] != a[order][:-1] for a in order_by[:names]], axis=0)
-    first = np.empty(len(order), bool)
-    first[order] = new
-    return first
+        new[1:] = np.any([a[1:] != a[:-1] for a in ordered[:names]], axis=0)
+    start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else order
+    elsewhere = np.any([a != a[start] for a in ordered[names:]], axis=0)
+    first, again = np.empty(len(order), bool), np.empty(len(order), bool)
+    first[order], again[order] = new, elsewhere
+    return first, again
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +131,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not docs:
                 continue
             doc, name, around, place = map(np.concatenate, (docs, name, around, place))
-            first = _first_of_each([name, around, doc, place], 2)
+            first, again = _first_of_each([name, around, doc, place], 2)
             gone: list[tuple[int, int, int]] = []
             for at in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1):
-                if not first[at].all():
-                    gone += [(int(doc[at[0]]), a, b) for a, b in _runs(place[at], ~first[at])]
+                if again[at].any():
+                    gone += [(int(doc[at[0]]), a, b) for a, b in _runs(place[at], again[at])]
             kept = np.flatnonzero(first)
             extra = np.array(gone, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
@@ -146,7 +151,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted anchor rows: (doc, pos, last, edge); edge: first of a long name whose short name has another."""
+    """From sorted anchor rows: (name, doc, pos, last, edge); edge: first of a long name whose short name has another."""
     name_now, around_now, first_now, held, several = None, None, (0, 0), None, False
     for batch in batches:
         if not batch.num_rows:
@@ -154,7 +159,7 @@ def _settle_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         known = batch.column("around").is_null().to_numpy(zero_copy_only=False)
         name, doc, pos, last = (batch.column(c).to_numpy() for c in ("name", "doc", "pos", "last"))
         around = batch.column("around").fill_null(0).to_numpy()
-        out = [(doc[known], pos[known], last[known], np.zeros(known.sum(), bool))]
+        out = [(name[known], doc[known], pos[known], last[known], np.zeros(known.sum(), bool))]
         name, around, doc, pos = (x[~known] for x in (name, around, doc, pos))
         if len(name):
             new_name = np.concatenate([[name[0] != name_now], name[1:] != name[:-1]])
@@ -163,7 +168,7 @@ def _settle_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             first_doc = np.where(at < 0, first_now[0], doc[at])
             first_pos = np.where(at < 0, first_now[1], pos[at])
             again = ~new & ((doc != first_doc) | (pos != first_pos))
-            out.append((doc[again], pos[again], pos[again], np.zeros(again.sum(), bool)))
+            out.append((name[again], doc[again], pos[again], pos[again], np.zeros(again.sum(), bool)))
             # First rows of long names, by short name; the last short name may go on in the next batch.
             firsts = np.flatnonzero(new)
             group = np.cumsum(new_name)[firsts]  # 0: goes on from the batch before
@@ -171,7 +176,7 @@ def _settle_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 counts = np.bincount(group, minlength=int(group.max()) + 1)
                 if counts[0]:
                     if held is not None:
-                        out.append((np.array([held[0]]), np.array([held[1]]), np.array([held[1]]), np.ones(1, bool)))
+                        out.append((np.array([name_now]), np.array([held[0]]), np.array([held[1]]), np.array([held[1]]), np.ones(1, bool)))
                         held = None
                     several = True
                 multi = (counts > 1) | ((np.arange(len(counts)) == 0) & several)
@@ -183,62 +188,112 @@ def _settle_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     else:
                         several = True
                 edge = firsts[multi[group]]
-                out.append((doc[edge], pos[edge], pos[edge], np.ones(len(edge), bool)))
+                out.append((name[edge], doc[edge], pos[edge], pos[edge], np.ones(len(edge), bool)))
             name_now, around_now = name[-1], around[-1]
             first_now = (int(first_doc[-1]), int(first_pos[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["doc", "pos", "last", "edge"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["name", "doc", "pos", "last", "edge"])
 
 
-def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(high, low, doc, start): names of the strings whose anchor is one of ``edges``; null names: known to repeat."""
+def _own_strings(data: bytes, start: int, anchor: int) -> list[int]:
+    """Starts of the strings in ``data``, which begins at byte ``start``, whose anchor is at byte ``anchor``."""
+    names = gram_names(np.frombuffer(data, np.uint8))
+    return (np.flatnonzero(least_names(names) == names[anchor - start]) + start).tolist()
+
+
+def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, low, doc, pos, start, around) from texts with their edges.
+
+    An edge goes on with the bytes around it, under the anchor's name.  Those of very frequent names are cut into
+    their strings here, one row each under the string's own name, so that they are dealt to many tasks; null ``low``
+    and ``around``: known to repeat.
+    """
     for batch in batches:
         for from_row in range(0, batch.num_rows, 512):
             part = batch.slice(from_row, 512)
-            docs, starts, digests = [], [], []
+            edges_out, docs, starts, digests, done = [], [], [], [], set()
             for doc, text, edges in zip(*(part.column(c).to_pylist() for c in ("doc", "text", "edges"))):
                 data = (text or "").encode("utf-8", "replace")
-                strings, done = len(data) - SIZE + 1, -1
-                for p in sorted(set(edges)):
-                    low, high = max(0, p - REACH), min(p, strings - 1)
-                    if low > high:
+                for edge in edges:
+                    p, start = edge["pos"], max(0, edge["pos"] - REACH)
+                    around = data[start : p + SIZE]
+                    if len(around) < SIZE:
                         continue
-                    names = gram_names(np.frombuffer(data, np.uint8, high - low + SIZE, low))
-                    for s in (np.flatnonzero(least_names(names) == names[p - low]) + low).tolist():
-                        if s > done:
-                            done = s
+                    if not edge["hot"]:
+                        edges_out.append((edge["name"], doc, p, start, around))
+                        continue
+                    for s in _own_strings(around, start, p):
+                        if (doc, s) not in done:
+                            done.add((doc, s))
                             docs.append(doc)
                             starts.append(s)
                             digests.append(xxhash.xxh3_128_digest(data[s : s + SIZE]))
-            if not docs:
-                continue
-            doc, start = np.array(docs, np.int64), np.array(starts, np.int64)
-            names = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            first = _first_of_each([names[:, 0], names[:, 1], doc, start], 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(first, names[:, 0], doc * 0x9E3779B1)), pa.array(names[:, 1], mask=~first), pa.array(doc), pa.array(start)],
-                ["high", "low", "doc", "start"],
-            )
+            rows = [pa.array(c, k) for c, k in zip(zip(*edges_out) if edges_out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            n = len(edges_out)
+            yield pa.RecordBatch.from_arrays([rows[0], pa.nulls(n, pa.int64()), rows[1], rows[2], rows[3], rows[4]], ["key", "low", "doc", "pos", "start", "around"])
+            if docs:
+                doc, start = np.array(docs, np.int64), np.array(starts, np.int64)
+                names = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                first, _ = _first_of_each([names[:, 0], names[:, 1], doc, start], 2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.where(first, names[:, 0], doc * 0x9E3779B1)), pa.array(names[:, 1], mask=~first), pa.array(doc), pa.array(start), pa.array(start), pa.nulls(len(doc), pa.binary())],
+                    ["key", "low", "doc", "pos", "start", "around"],
+                )
+
+
+def _repeated_strings(group: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
+    """(doc, first, last) of the strings of a name's edges, in order, that another edge before has; neighbours merged."""
+    seen: dict[bytes, tuple[int, int]] = {}
+    for doc, pos, start, around in group:
+        first = last = -1
+        for s in _own_strings(around, start, pos):
+            name = xxhash.xxh3_128_digest(around[s - start : s - start + SIZE])
+            if seen.setdefault(name, (doc, s)) != (doc, s):
+                if first >= 0 and s <= last + SIZE:
+                    last = s
+                    continue
+                if first >= 0:
+                    yield doc, first, last + SIZE
+                first = last = s
+        if first >= 0:
+            yield doc, first, last + SIZE
 
 
 def _settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted string rows: (doc, start) of all but the first of a name."""
+    """From sorted edge rows: (doc, first, last) of what repeats; at most ``HOT`` edges of one name are held at a time."""
     high_now, low_now, first_now = None, None, (0, 0)
+    group_key, group = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
+        out: list[tuple[int, int, int]] = []
+        strings = batch.column("around").is_null().to_numpy(zero_copy_only=False)
+        edges = batch.filter(pa.array(~strings))
+        for key, *row in zip(*(edges.column(c).to_pylist() for c in ("key", "doc", "pos", "start", "around"))):
+            if key != group_key:
+                out += _repeated_strings(group)
+                group_key, group = key, []
+            group.append(tuple(row))
+        batch = batch.filter(pa.array(strings))
         known = batch.column("low").is_null().to_numpy(zero_copy_only=False)
-        high, doc, start = (batch.column(c).to_numpy() for c in ("high", "doc", "start"))
+        high, doc, start = (batch.column(c).to_numpy() for c in ("key", "doc", "start"))
         low = batch.column("low").fill_null(0).to_numpy()
-        out = [(doc[known], start[known])]
+        gone = [(doc[known], start[known])]
         high, low, doc, start = (x[~known] for x in (high, low, doc, start))
         if len(high):
             new = np.concatenate([[(high[0] != high_now) or (low[0] != low_now)], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
             at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
             first_doc, first_start = np.where(at < 0, first_now[0], doc[at]), np.where(at < 0, first_now[1], start[at])
             again = ~new & ((doc != first_doc) | (start != first_start))
-            out.append((doc[again], start[again]))
+            gone.append((doc[again], start[again]))
             high_now, low_now, first_now = high[-1], low[-1], (int(first_doc[-1]), int(first_start[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["doc", "start"])
+        yield _spans(out, gone)
+    yield _spans(list(_repeated_strings(group)), [])
+
+
+def _spans(rows: list[tuple[int, int, int]], strings: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    columns = np.array(rows, np.int64).reshape(-1, 3)
+    doc = np.concatenate([columns[:, 0], *(d for d, _ in strings)])
+    first = np.concatenate([columns[:, 1], *(x for _, x in strings)])
+    last = np.concatenate([columns[:, 2], *(x + SIZE for _, x in strings)])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["doc", "first", "last"])
 
 
 def removed_spans(size: int, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -256,14 +311,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     """From (doc, text): (doc, first, last), bytes [first, last) that repeat; they may overlap, and pass the text's end."""
     around = docs.mapInArrow(_anchor_rows, "name long, around long, doc long, pos long, last long")
     settled = around.repartition("name").sortWithinPartitions("name", "around", "doc", "pos")
-    settled = cut(settled.mapInArrow(_settle_anchors, "doc long, pos long, last long, edge boolean"))
-    edges = settled.where("edge").groupBy("doc").agg(F.collect_list("pos").alias("edges"))
-    strings = docs.join(edges, "doc").select("doc", "text", "edges").mapInArrow(_string_rows, "high long, low long, doc long, start long")
-    strings = strings.repartition("high").sortWithinPartitions("high", "low", "doc", "start").mapInArrow(_settle_strings, "doc long, start long")
-    return (
-        settled.where("not edge").select("doc", (F.col("pos") - REACH).alias("first"), (F.col("last") + SIZE).alias("last"))
-        .union(strings.select("doc", F.col("start").alias("first"), (F.col("start") + SIZE).alias("last")))
-    )
+    settled = cut(settled.mapInArrow(_settle_anchors, "name long, doc long, pos long, last long, edge boolean"))
+    edges = settled.where("edge").select("name", "doc", "pos")
+    hot = edges.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(apart("name").alias("name"), F.lit(True).alias("hot"))
+    marked = edges.join(hot, "name", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    edges = marked.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("pos", "name", "hot"))).alias("edges"))
+    rows = docs.join(edges, "doc").select("doc", "text", "edges").mapInArrow(_edge_rows, "key long, low long, doc long, pos long, start long, around binary")
+    strings = rows.repartition("key").sortWithinPartitions("key", "low", "doc", "pos").mapInArrow(_settle_strings, "doc long, first long, last long")
+    return settled.where("not edge").select("doc", (F.col("pos") - REACH).alias("first"), (F.col("last") + SIZE).alias("last")).union(strings)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +337,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text")
-    spans = repeated(keyed).groupBy("doc").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    joined = docs.join(spans, F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("doc"), "left")
-    return joined.select("doc_id", "text", "first", "last").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    none = F.lit(-(1 << 63))
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("doc_id", none).alias("doc"), "text")
+    spans = repeated(docs).groupBy("doc").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+    joined = docs.join(spans, "doc", "left")  # the texts are dealt out once, for the edges and again here
+    rows = joined.select(F.nullif("doc", none).alias("doc_id"), "text", "first", "last")
+    return rows.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
