@@ -57,7 +57,7 @@ def parsed(messages: DataFrame) -> DataFrame:
         level(x["start"]).alias("level"), F.transform(F.slice("lines", x["start"] + 1, x["n"]), lambda y: y["content"]).alias("contents")
     )
     return (
-        with_lines.withColumn("body", F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda x: x["content"]), "\n"), r"\n{3,}", "\n\n")))
+        with_lines.withColumn("body", F.regexp_replace(F.regexp_replace(F.array_join(F.transform(own, lambda x: x["content"]), "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", ""))
         .withColumn("starts", starts)
         .withColumn("passages", F.filter(F.transform(spans, passage), lambda x: x["level"] > 0))
         .drop("starts")
