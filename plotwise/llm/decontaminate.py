@@ -153,8 +153,8 @@ def _portions(benchmark: DataFrame) -> list[list[tuple[int, str | None]]]:
     return [[(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()] for k in range(parts)]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with the column ``items``, array of the item ids that the text holds."""
+def matches(docs: DataFrame, benchmark: DataFrame, name: str = "items") -> DataFrame:
+    """``docs`` with the column ``name``, array of the item ids that the text holds."""
     found = docs
     schema = pa.list_(pa.int64())
     for number, items in enumerate(_portions(benchmark)):
@@ -165,12 +165,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    yield part.append_column("items_of_portion", pa.array(index.holds(part.column("text").to_pylist()), schema))
+                    yield part.append_column("_held_now", pa.array(index.holds(part.column("text").to_pylist()), schema))
 
         names = [f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema]
-        found = found.mapInArrow(run, ", ".join([*names, "items_of_portion array<bigint>"])).withColumnRenamed("items_of_portion", f"_items_{number}")
-    parts = [c for c in found.columns if c.startswith("_items_")]
-    return found.withColumn("items", F.array_sort(reduce(F.array_union, map(F.col, parts)))).drop(*parts)
+        found = found.mapInArrow(run, ", ".join([*names, "_held_now array<bigint>"])).withColumnRenamed("_held_now", f"_{name}_of_portion_{number}")
+    parts = [c for c in found.columns if c.startswith(f"_{name}_of_portion_")]
+    return found.withColumn(name, F.array_sort(reduce(F.array_union, map(F.col, parts)))).drop(*parts)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
