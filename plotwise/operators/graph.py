@@ -18,21 +18,21 @@ def ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="plotwise-"))
 
 
-def _saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     ready(df.sparkSession)
     return df.checkpoint()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that edges lead to.  Labels spread along edges and then jump to their own label."""
-    both = _saved(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).where("x is not null and y is not null").distinct())
+    both = saved(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).where("x is not null and y is not null").distinct())
     labels = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("least")).select("node", F.least("node", "least").alias("component"))
-    labels, mark = _saved(labels), None
+    labels, mark = saved(labels), None
     while True:
         told = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("component").alias("heard"))
         near = labels.join(told, labels.node == told.x).select("node", F.least("component", "heard").alias("component"))
         further = near.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        labels = _saved(near.join(further, "component", "left").select("node", F.coalesce(F.least("component", "jump"), "component").alias("component")))
+        labels = saved(near.join(further, "component", "left").select("node", F.coalesce(F.least("component", "jump"), "component").alias("component")))
         now = labels.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()
         if now == mark:
             return labels

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotwise.functions import address as A
+from plotwise.operators.graph import saved
 
 
 def matched(sources: DataFrame, known: DataFrame, source: str, key: str, aliases: DataFrame | None = None) -> DataFrame:
@@ -21,7 +22,7 @@ def matched(sources: DataFrame, known: DataFrame, source: str, key: str, aliases
     loose = keys.groupBy(A.loose_key(F.col("key")).alias("look")).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
     asked = sources.select(F.col(source).alias("source")).where(F.trim(F.col(source)) != "").distinct()
     tried = A.with_variants(asked, "source").groupBy("source", "key").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("kind", "low", "high")))
-    tried = tried.withColumn("cut", A.without_name(F.col("key")))
+    tried = saved(tried.withColumn("cut", A.without_name(F.col("key"))))  # three tiers read it
     looks = (
         tried.select("source", "at", F.explode(F.array(F.struct(F.lit(1).alias("tier"), F.lit(0).alias("later"), F.col("key").alias("look")), F.struct(F.lit(2).alias("tier"), F.lit(1).alias("later"), F.col("cut").alias("look")))).alias("x"))
         .select("source", "at", "x.tier", "x.later", "x.look").where("look is not null")
