@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,6 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def portions(batch: pa.RecordBatch, column: str = "text", rows: int = 2048, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows, and of little more than so many bytes in the column, whatever the batch holds."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = held = 0
+    for at, length in enumerate(lengths):
+        if at > start and (at - start >= rows or held + length > size):
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += length
+    if start < len(lengths):
+        yield batch.slice(start)
+
+
 def arrow_map(df: DataFrame, schema: str, rows: Callable[..., tuple]) -> DataFrame:
     """Map each row by ``rows(*values) -> tuple``, some hundred rows at a time whatever the batch size is."""
     names = df.columns

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, portions, table
 from .components import apart
 
 SIZE, GRAM, HOT = 100, 36, 1024
@@ -111,8 +111,7 @@ def _first_of_each(order_by: list[np.ndarray], names: int) -> tuple[np.ndarray,
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(name, around, doc, pos, last): anchors; with null ``around``, stretches known to repeat."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 2048):
-            part = batch.slice(start, 2048)
+        for part in portions(batch):
             docs, name, around, place = [], [], [], []
             for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()):
                 data = (text or "").encode("utf-8", "replace")
@@ -208,8 +207,7 @@ def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     and ``around``: known to repeat.
     """
     for batch in batches:
-        for from_row in range(0, batch.num_rows, 512):
-            part = batch.slice(from_row, 512)
+        for part in portions(batch, rows=512):
             edges_out, docs, starts, digests, done = [], [], [], [], set()
             for doc, text, edges in zip(*(part.column(c).to_pylist() for c in ("doc", "text", "edges"))):
                 data = (text or "").encode("utf-8", "replace")
@@ -323,7 +321,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    for batch in batches:
+    for batch in (part for whole in batches for part in portions(whole)):
         rows = []
         for doc, text, first, last in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "first", "last"))):
             data = (text or "").encode("utf-8", "replace")
