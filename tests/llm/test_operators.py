@@ -276,3 +276,49 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns
         kept, before = {r.doc_id for r in out.select("doc_id").collect()}, {r.doc_id for r in docs.select("doc_id").collect()}
         assert kept <= before and len(kept) > 0.5 * len(before)
+
+
+def test_near_copies_are_all_pairs(spark):
+    """The pipeline's stage against all pairs: near copies of every size, crowded places, odd rows."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = [(k, prose(rng, rng.choice((4, 8, 30, 60, 120, 400)))) for k in range(60)]
+    for source in range(0, 60, 2):
+        for edits in (1, 2, 3, 5):
+            words = rows[source][1].split()
+            for _ in range(edits):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 1)] = [rng.choice(WORDS)] * rng.randint(0, 2)
+            rows.append((len(rows), " ".join(words)))
+    line = prose(rng, 40)
+    rows += [(len(rows) + k, line + " " + prose(rng, rng.randint(1, 12))) for k in range(60)]  # all share their line
+    rows += [(1000, None), (1001, ""), (1002, " \t"), (1003, rows[5][1].upper()), (rows[7][0], rows[7][1]), (None, rows[0][1]), (None, "alone"), (1004, prose(rng, 50)), (1004, rows[20][1])]
+
+    def own(text):
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+        return frozenset(" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = [own(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    far = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or 5 * len(x & y) >= 4 * len(x | y) > 0 or rows[i][0] is not None and rows[i][0] == rows[j][0]:
+                far += (simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() > simhash.RADIUS
+                root[find(i)] = find(j)
+    assert far > 20
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    wanted = sorted((r for k, r in enumerate(rows) if least.get(find(k)) == r[0]), key=str)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == wanted
