@@ -3,7 +3,9 @@
 ``scan`` finds fixed patterns and, beside them, spans of high entropy: every maximal run of token characters is a
 candidate; a window slides over it and keeps counts per character, from which the Shannon entropy is updated in
 constant time a step, separately for each character class.  Windows above the class's threshold merge into spans;
-spans that an allow-list pattern covers, or that a fixed pattern already reports, are suppressed.
+spans that the allow-list covers are suppressed, and what a fixed pattern already reports is cut from them.
+
+Letters of a single case without any digit are taken for words: by entropy alone they cannot be told from compounds.
 
 Offsets are code points, ends exclusive.  Defined cases: null and empty texts have no spans; repeated rows each get
 their row; very long texts are scanned whole; other columns are ignored.
@@ -32,17 +34,26 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # as AKIA[A-Z0-9]+ of 20 characters
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Class: characters, window, least bits a character, least digits, upper-case and lower-case letters in the window.
+#: Base32 (A-Z, 2-7) has a threshold of its own beside "upper", as fewer characters give fewer bits.
 CLASSES = (
     ("hex", frozenset("0123456789abcdefABCDEF"), 20, 3.0, 3, 0, 0),
-    ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.7, 2, 1, 1),
+    ("base64", frozenset(_UPPER + _LOWER + _DIGITS + "+/_=-"), 20, 3.7, 2, 1, 1),
+    ("mixed", frozenset(_UPPER + _LOWER + _DIGITS + "+/_=-"), 20, 3.5, 0, 4, 4),
+    ("lower", frozenset(_LOWER + _DIGITS), 20, 3.4, 1, 0, 1),
+    ("upper", frozenset(_UPPER + _DIGITS), 20, 3.4, 1, 1, 0),
+    ("base32", frozenset(_UPPER + "234567"), 20, 3.3, 1, 1, 0),
 )
+_NAME = r"(?:[A-Z]+|[A-Z]?[a-z]*(?:[A-Z][a-z]{2,})*)"  # a word, or several in camel case
+#: What a run of token characters, or a found span, may be as a whole.
 ALLOWED = (
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",  # UUIDs
-    r"(?i).*example.*",
-    r"[A-Za-z]+([_/-][A-Za-z]+)*",  # words and paths of words
+    rf"{_NAME}([_/-]{_NAME})*",  # words and paths of words
     r"[0-9]+([_/-][0-9]+)*",  # numbers, dates
 )
+#: What a found span, but not what stands beside it, may contain.
+EXAMPLE = re.compile(r"(?i)example")
 _TERM = [0.0] + [n * math.log2(n) for n in range(1, 65)]
 
 
@@ -86,12 +97,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def entropy_spans(text: str, base: list[tuple[str, int, int]], classes=CLASSES, allowed=_ALLOWED) -> list[tuple[str, int, int]]:
-    """Spans that the windows add: outside the base spans and not on the allow-list."""
+    """Spans that the windows add: their parts outside the base spans, unless on the allow-list."""
     taken = sorted((s, e) for _, s, e in base)
     out = []
     for m in _CANDIDATE.finditer(text):
         word = m.group()
-        if word.isalpha() or any(p.fullmatch(word) for p in allowed):
+        if any(p.fullmatch(word) for p in allowed):
             continue
         spans = sorted(x for _, *rule in classes for x in dense_windows(word, *rule))
         merged: list[list[int]] = []
@@ -101,9 +112,17 @@ def entropy_spans(text: str, base: list[tuple[str, int, int]], classes=CLASSES,
             else:
                 merged.append([s, e])
         for s, e in merged:
-            s, e = s + m.start(), e + m.start()
-            if not any(p.fullmatch(text[s:e]) for p in allowed) and not any(x < e and s < y for x, y in taken):
-                out.append(("entropy", s, e))
+            found = word[s:e]
+            if EXAMPLE.search(found) or any(p.fullmatch(found) for p in allowed):
+                continue
+            at, end = s + m.start(), e + m.start()
+            for x, y in taken:
+                if y > at and x < end:
+                    if x > at:
+                        out.append(("entropy", at, x))
+                    at = y
+            if at < end:
+                out.append(("entropy", at, end))
     return out
 
 

@@ -322,3 +322,18 @@ def test_near_copies_are_all_pairs(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == wanted
+
+
+def test_secrets_of_every_alphabet():
+    rng = random.Random(12)
+    small, big, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters in (small + digits, big + digits, big + "234567", small + big, small + big + digits + "+/"):
+        for n in (20, 24, 32, 40):
+            keys = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(100)]
+            assert sum(any(k == "entropy" for k, *_ in secrets.scan(f"the {key} key")) for key in keys) >= 95, (letters, n)
+    key = "xK9fQ2mZ7Lp4Wv8Rt3Yb6Nc1"
+    assert secrets.redact(f"example/of/things-and-words-and-more-of-them/{key}").startswith("example/of/things-and-words") and key not in secrets.redact(f"example/of/things-and-words-and-more-of-them/{key}")
+    text = "0123456789abcdef01234567" + key  # the fixed pattern ends inside the span
+    assert secrets.redact(text) == "[SECRET]" and [x[1:] for x in secrets.scan(text) if x[0] == "entropy"][0][1] == len(text)
+    for words in ("Donaudampfschifffahrtsgesellschaft", "getHttpResponseCodeForUser", "src/main/java/FooBarBaz/ThingFactory", "2024-01-01/2024-12-31/2025", "very-long-slug-with-many-words-in-it"):
+        assert secrets.scan(words) == []
