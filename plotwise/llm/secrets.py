@@ -137,13 +137,15 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
     """The text with each maximal stretch of spans replaced by ``mark``."""
     if not text:
         return text
-    out, at = [], 0
-    for _, start, end in scan(text):
+    out, at, last = [], 0, None
+    for kind, start, end in scan(text):
         if end <= at:
             continue
-        if start >= at:
+        if start > at or start == at and "entropy" not in (kind, last):  # what is cut from a span belongs to what it touches
             out += [text[at:start], mark]
-        at = end
+        elif last is None:
+            out.append(mark)
+        at, last = end, kind
     return "".join([*out, text[at:]])
 
 
