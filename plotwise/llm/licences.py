@@ -1,6 +1,6 @@
 """Operator 8: licence scans.
 
-Lines of a text are headers, and short texts as a whole may be licence files.  Each is a sparse TF-IDF vector; its
+Lines of a text are headers, and texts of any length may as a whole be licence files.  Each is a sparse TF-IDF vector; its
 cosine to every template decides.  Document frequencies of the templates' words are counted over all documents; a word
 in no template weighs as one that occurs once.  A header needs one of the words that make up most of a template's
 weight: without them it cannot reach the threshold, so that most lines are passed over unread and none is lost.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, table
 
-HEADER, FILE, FILE_WORDS = 0.6, 0.35, 400
+HEADER, FILE = 0.6, 0.35
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 #: Short forms in which public licences are named in headers: fixed values.
 TEMPLATES = (
@@ -108,7 +108,7 @@ class Matcher:
                 if cosine > score:
                     own, score = name, cosine
         whole = None
-        if last >= 0 and len(terms(lowered)) <= FILE_WORDS:
+        if last >= 0:
             name, cosine = self.best(lowered)
             whole = name if cosine >= FILE else None
         return own, round(score, 6), headers, whole

@@ -337,3 +337,10 @@ def test_secrets_of_every_alphabet():
     assert secrets.redact(text) == "[SECRET]" and [x[1:] for x in secrets.scan(text) if x[0] == "entropy"][0][1] == len(text)
     for words in ("Donaudampfschifffahrtsgesellschaft", "getHttpResponseCodeForUser", "src/main/java/FooBarBaz/ThingFactory", "2024-01-01/2024-12-31/2025", "very-long-slug-with-many-words-in-it"):
         assert secrets.scan(words) == []
+
+
+def test_long_texts_are_licence_files():
+    """However many distinct words a text has, its cosine as a whole decides."""
+    frequencies = {"": 1000, **dict.fromkeys((w for _, t in licences.TEMPLATES for w in licences.terms(t)), 3)}
+    text = "Licensed under the Apache License, Version 2.0\n" * 60 + "\n".join(f"word{k}" for k in range(500))
+    assert licences.Matcher(licences.TEMPLATES, frequencies).scan(text)[3] == "Apache-2.0"
