@@ -3,7 +3,7 @@
 Lines that start with ``>`` are quotes; as many ``>`` as stand there, so deep they are nested.  Neighbouring lines of
 one level are a passage.  A passage, and each of its lines, is normalised (lower case, blanks collapsed) and hashed;
 the hashes are joined to those of the messages' own words: whole, by paragraph and by line.  An earlier message of the
-same conversation comes first, else the first one anywhere.  A message replies to the latest message of its
+same conversation comes first, else the first one of another conversation.  A message replies to the latest message of its
 conversation that its outermost quotes lead to; replies form threads, and a conversation is ordered by thread and
 turn.  Quotes, and the lines that announce them, are left out of the text.
 
@@ -79,11 +79,13 @@ def linked(messages: DataFrame) -> DataFrame:
         .distinct()
     )
     fresh = lambda frame: frame.withColumn("hash", F.concat("hash", F.lit("")))  # noqa: E731  dealt out anew, so that a hot hash can be split
+    later = nearby.join(fresh(anywhere), "hash").where(F.col("conv_id") > F.col("first.conv_id"))
+    second = later.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("near_turn").alias("turn"))).alias("second"))
     found = (
         quotes.join(nearby.withColumn("conv_id", apart("conv_id")), ["conv_id", "hash"], "left")
-        .join(fresh(anywhere), "hash", "left")
+        .join(fresh(anywhere.join(second, "hash", "left")), "hash", "left")
         .withColumn("near_turn", F.when(F.col("near_turn") < F.col("turn"), F.col("near_turn")))
-        .withColumn("far", F.when(F.col("near_turn").isNull() & (F.col("first.conv_id") != F.col("conv_id")), F.col("first")))
+        .withColumn("far", F.when(F.col("near_turn").isNull(), F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))))
         .groupBy("conv_id", "turn", "number", "level")
         .agg(F.max("near_turn").alias("near_turn"), F.min("far").alias("far"))
         .groupBy("conv_id", "turn")

@@ -344,3 +344,9 @@ def test_long_texts_are_licence_files():
     frequencies = {"": 1000, **dict.fromkeys((w for _, t in licences.TEMPLATES for w in licences.terms(t)), 3)}
     text = "Licensed under the Apache License, Version 2.0\n" * 60 + "\n".join(f"word{k}" for k in range(500))
     assert licences.Matcher(licences.TEMPLATES, frequencies).scan(text)[3] == "Apache-2.0"
+
+
+def test_quotes_of_what_the_own_conversation_says_later(spark):
+    rows = [(1, 0, "user", "> the quoted line\n\nthe quoted line"), (2, 3, "user", "The quoted line"), (3, 0, "user", "the quoted line")]
+    got = {r.conv_id: (r.n_linked, r.reply_to, r.reply_conv) for r in quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: (1, None, 2), 2: (0, None, None), 3: (0, None, None)}
