@@ -91,8 +91,8 @@ def _cut_pattern(types: str, ignored: str) -> str:
     A type ends a street that has a name before it, so that "St" as "Saint" does not; Broadway and Kingsway end themselves.
     """
     own = "broadway|kingsway"
-    named = rf"(?!(?:{DIRECTIONS}) )(?!(?:{own}) )\S+ (?:\S+ )*?(?:{own}|{types})"
-    return rf"^(\d\S* (?:(?:{DIRECTIONS}) )*(?:(?:{own})|{named}))(?! (?:{ignored})(?: (?:{ignored}))*$) (.+)$"
+    named = rf"(?!(?:{DIRECTIONS}) )(?!(?:{own}) )\S+ (?:.*? )??(?:{own}|{types})"  # no group repeats within: a long text must not fill the stack
+    return rf"^(\d\S* (?:(?:{DIRECTIONS}) )*+(?:(?:{own})|{named}))(?! (?:{ignored})(?: (?:{ignored}))*+$) (.+)$"
 
 
 _CUT = _cut_pattern(f"{STREET_TYPES}|way|sq", DIRECTIONS)

@@ -71,3 +71,24 @@ def first_that(items: Column, test) -> Column:
 
 def rounded_coordinates(rings: Column, places: int = 6) -> Column:
     return F.transform(rings, lambda ring: F.transform(ring, lambda p: F.transform(p, lambda v: F.round(v, places))))
+
+
+def total(*columns: str) -> Column:
+    """The sum across columns; nulls count as nothing."""
+    out = F.lit(0.0)
+    for c in columns:
+        out = out + F.coalesce(F.col(c), F.lit(0.0))
+    return out
+
+
+def any_of(*columns: str) -> Column:
+    """Whether any of the columns is true; nulls are not."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(F.col(c), F.lit(False))
+    return out
+
+
+def area_keys(c: Column) -> Column:
+    """The items of a text between semicolons, without blanks and empty ones; null gives none."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plotwise.functions.address import address_key
+
 
 def _renamed(dim: DataFrame, key: str, on: str, tag: str) -> DataFrame:
     return dim.select(F.col(key).alias(on), *(F.col(c).alias(f"_{tag}_{c}") for c in dim.columns if c != key))
@@ -84,3 +86,15 @@ def applied(df: DataFrame, hits: DataFrame, key: str, values: list[str]) -> Data
     marked = hits.select(key, F.lit(True).alias("_hit"), *(F.col(c).alias(f"_new_{c}") for c in values))
     out = df.join(marked, key, "left")
     return out.withColumns({c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in values}).drop("_hit", *(f"_new_{c}" for c in values))
+
+
+def primary_addresses(df: DataFrame) -> DataFrame:
+    """Adds ``address`` and ``primary_address``, both keys: the recorded primary one if it is whole, else the own one.
+
+    df: (civic_number, std_street, civic_number_primary, std_street_primary, ...).  The recorded primary counts for every
+    type of address.
+    """
+    own = address_key(F.concat("civic_number", F.lit(" "), "std_street"))
+    recorded = address_key(F.concat("civic_number_primary", F.lit(" "), "std_street_primary"))
+    whole = F.col("civic_number_primary").isNotNull() & F.col("std_street_primary").isNotNull()
+    return df.withColumns({"address": own, "_recorded": F.when(whole, recorded)}).withColumn("primary_address", F.coalesce("_recorded", "address")).drop("_recorded")

@@ -1,10 +1,11 @@
-"""What the land registry says about a building: owners, searches, interest holders, parcels; and what listings add."""
+"""What the land registry says about a building: owners, searches, parcels, plans; and what listings add."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotwise.functions.address import address_key
 from plotwise.functions.text import dashed
 from plotwise.operators.dedupe import commonest
 
@@ -59,6 +60,38 @@ def merged_extras(rows: DataFrame) -> DataFrame:
     return out.where("lat is not null and lon is not null")
 
 
+def unmatched_records(rows: DataFrame, known: DataFrame, source: str) -> DataFrame:
+    """Records that no building has, each under an id of its own; rows: (id, pos, key, name, status, lat, lon), known: (key).
+
+    A source's own ids need not tell its rows apart, so the place in the file goes into the id.
+    """
+    alone = rows.join(known.select("key").distinct(), "key", "left_anti")
+    clean = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")).alias(c)
+    own = F.concat_ws("-", F.lit(source), F.coalesce(F.col("id").cast("string"), F.lit("None")), F.col("pos").cast("string"))
+    return alone.select(own.alias("synthetic_id"), F.lit(source).alias("source"), clean("name"), clean("status"), "lat", "lon")
+
+
+def plan_numbers(rows: DataFrame) -> DataFrame:
+    """(plan, key) of sites that carry a plan number, which has a letter, rather than a parcel; rows: (site_id, civic, street)."""
+    held = rows.where(F.col("site_id").rlike("[A-Za-z]") & F.col("civic").isNotNull() & F.col("street").isNotNull())
+    civic = F.regexp_replace(F.trim(F.col("civic").cast("string")), r"\.0$", "")
+    return held.select(F.upper(F.trim("site_id")).alias("plan"), address_key(F.concat_ws(" ", civic, "street")).alias("key")).distinct()
+
+
+def provenance(rows: DataFrame, group: str, source: str, labels: list[tuple[str, str]]) -> DataFrame:
+    """(group, provenance): the label of the one source there is, else every label with its number, in the order given."""
+    counts = rows.groupBy(group).agg(*(F.count_if(F.col(source) == name).alias(f"_n{k}") for k, (name, _) in enumerate(labels)))
+    said = [F.struct(F.lit(label).alias("label"), F.col(f"_n{k}").alias("n")) for k, (_, label) in enumerate(labels)]
+    found = F.filter(F.array(*said), lambda x: x["n"] > 0)
+    many = F.transform(found, lambda x: F.concat(x["label"], F.lit(" ("), x["n"].cast("string"), F.when(x["n"] == 1, " building)").otherwise(" buildings)")))
+    return counts.select(group, F.when(F.size(found) == 1, F.get(found, F.lit(0))["label"]).otherwise(F.array_join(many, "; ")).alias("provenance"))
+
+
+def most_common(rows: DataFrame, name: str, n: int = 50) -> DataFrame:
+    """The n commonest names; the limit is what the report asks for."""
+    return rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), name).limit(n)
+
+
 def deep_link(buildings: DataFrame, asked: DataFrame) -> DataFrame:
     """The building of an address, else of a parcel that only one building has; buildings: (id, address, pids), asked: (ask, address, pid)."""
     by_address = asked.join(buildings.select("address", F.col("id").alias("by_address")), "address", "left")

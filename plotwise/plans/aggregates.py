@@ -178,8 +178,10 @@ def q_hist_log(s, d):
 
 @q("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) AS p5, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(median(l_discount), 4) AS mid FROM lineitem GROUP BY l_returnflag""")
 def q_percentiles(s, d):
-    out = t(s, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p"), F.median("l_discount").alias("mid"))
-    return out.select("l_returnflag", *(F.round(F.get("p", F.lit(k)), 4).alias(name) for k, name in enumerate(("p5", "p50", "p95"))), F.round("mid", 4).alias("mid"))
+    lines = t(s, d, "lineitem")
+    price = ranks.quantiles(lines, "l_returnflag", "l_extendedprice", p5=0.05, p50=0.5, p95=0.95)
+    out = price.join(ranks.quantiles(lines, "l_returnflag", "l_discount", mid=0.5), "l_returnflag")
+    return out.select("l_returnflag", *(F.round(c, 4).alias(c) for c in ("p5", "p50", "p95", "mid")))
 
 
 @q("""SELECT g.p_brand, n, size, label, row_number() OVER (ORDER BY g.p_brand = 'Brand#1', size DESC, n DESC, g.p_brand) AS place FROM

@@ -10,11 +10,11 @@ from plotwise.plans.base import Registry, t
 q = Registry()
 
 
-@q("""WITH f AS (SELECT l_partkey AS pid, l_suppkey AS key, concat('s', CAST(l_suppkey AS VARCHAR), CASE WHEN l_quantity > 30 THEN 'x' ELSE '' END) AS name, l_orderkey % 500 AS building FROM lineitem WHERE l_quantity > 40 AND l_returnflag = 'R'),
+@q("""WITH f AS (SELECT l_partkey AS pid, l_suppkey AS key, concat('s', CAST(l_suppkey AS VARCHAR), 'x') AS name, l_orderkey % 500 AS building FROM lineitem),
 g AS (SELECT building, key, count(DISTINCT pid) AS pids FROM f GROUP BY 1, 2)
 SELECT building, list(concat(CAST(key AS VARCHAR), ':', CAST(pids AS VARCHAR)) ORDER BY pids DESC, concat('s', CAST(key AS VARCHAR), 'x')) AS bodies FROM g GROUP BY 1""")
 def q_registry_owners(s, d):
-    lines = t(s, d, "lineitem").where("l_quantity > 40 and l_returnflag = 'R'").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("key"), (F.col("l_orderkey") % 500).alias("building"))
+    lines = t(s, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("key"), (F.col("l_orderkey") % 500).alias("building"))
     pid = F.concat_ws("-", "building", "key", "part")  # a parcel of its own for each filing
     filings = lines.select(pid.alias("pid"), "key", F.concat(F.lit("s"), F.col("key"), F.lit("x")).alias("name"), F.lit("2024-01-01").alias("filed_on"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("withheld"))
     out = R.owners(R.shown(filings), lines.select(pid.alias("pid"), "building").distinct())

@@ -88,12 +88,12 @@ def q_band_semi(s, d):
     return lookup.in_band(part, part.select(*(F.col(c) for c in part.columns)), ["p_brand", "p_type"], "p_size", 2, same="p_partkey").select("p_partkey")
 
 
-@q("""SELECT p_partkey FROM part a WHERE p_partkey < 500 AND p_size > 5 AND NOT EXISTS (SELECT 1 FROM part b WHERE a.p_brand = b.p_brand AND abs(a.p_size - b.p_size) <= 0 AND a.p_partkey <> b.p_partkey)
+@q("""SELECT p_partkey FROM part a WHERE p_size > 5 AND NOT EXISTS (SELECT 1 FROM part b WHERE a.p_brand = b.p_brand AND abs(a.p_size - b.p_size) <= 0 AND a.p_partkey <> b.p_partkey)
 AND p_partkey IN (SELECT l_partkey FROM lineitem) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)""")
 def q_exists_chain(s, d):
     """One semi join and two anti joins in a row."""
     part, lines = t(s, d, "part"), t(s, d, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
-    kept = part.where("p_partkey < 500 and p_size > 5").join(lines.select("p_partkey"), "p_partkey", "left_semi").join(lines.where("l_quantity >= 50").select("p_partkey"), "p_partkey", "left_anti")
+    kept = part.where("p_size > 5").join(lines.select("p_partkey"), "p_partkey", "left_semi").join(lines.where("l_quantity >= 50").select("p_partkey"), "p_partkey", "left_anti")
     return lookup.in_band(kept, part.select("p_partkey", "p_brand", "p_size"), ["p_brand"], "p_size", 0, "left_anti", same="p_partkey").select("p_partkey")
 
 
@@ -108,8 +108,9 @@ _KNOWN = "SELECT DISTINCT concat(CAST(100 + p_partkey * 2 AS VARCHAR), ' ', spli
 
 @q(f"""WITH k AS ({_KNOWN}), src AS (SELECT p_partkey, 100 + p_partkey * 2 AS civic, p_name, p_partkey % 10 AS m FROM part),
 loose AS (SELECT regexp_replace(key, ' (st|ave|rd)$', '') AS lk, min(key) AS key FROM k GROUP BY 1 HAVING count(*) = 1)
-SELECT s.p_partkey, coalesce(k.key, l.key) AS match, CASE WHEN k.key IS NOT NULL THEN CASE WHEN m = 3 THEN 'M2' ELSE 'M1' END WHEN l.key IS NOT NULL THEN 'M3' END AS tier
-FROM src s LEFT JOIN k ON k.p_partkey = s.p_partkey AND m <> 4 LEFT JOIN loose l ON l.lk = concat(CAST(civic AS VARCHAR), ' ', p_name) AND m = 4""")
+SELECT s.p_partkey, coalesce(k.key, l.key, low.key, high.key, own.key) AS match, CASE WHEN k.key IS NOT NULL THEN CASE WHEN m = 3 THEN 'M2' ELSE 'M1' END WHEN l.key IS NOT NULL OR low.key IS NOT NULL OR high.key IS NOT NULL THEN 'M3' WHEN own.key IS NOT NULL THEN 'M4' END AS tier
+FROM src s LEFT JOIN k ON k.p_partkey = s.p_partkey AND m < 4 LEFT JOIN loose l ON l.lk = concat(CAST(civic AS VARCHAR), ' ', p_name) AND m = 4
+LEFT JOIN loose low ON low.lk = concat(CAST(civic - 2 AS VARCHAR), ' ', p_name) AND m = 5 LEFT JOIN loose high ON high.lk = concat(CAST(civic + 2 AS VARCHAR), ' ', p_name) AND m = 5 LEFT JOIN k own ON own.p_partkey = s.p_partkey AND m = 5""")
 def q_tier_match(s, d):
     """Noisy spellings of part names as addresses against the keys of six in ten of them."""
     part = t(s, d, "part").select("p_partkey", "p_name", (F.col("p_partkey") * 2 + 100).cast("string").alias("civic"), (F.col("p_partkey") % 3).alias("k"), (F.col("p_partkey") % 10).alias("m"))
@@ -118,7 +119,8 @@ def q_tier_match(s, d):
     key = F.concat_ws(" ", "civic", "p_name", kind)
     noisy = (
         F.when(F.col("m") == 0, key).when(F.col("m") == 1, F.concat_ws("  ", "civic", F.upper("p_name"), word)).when(F.col("m") == 2, F.concat(F.lit("#7 - "), F.concat_ws(" ", "civic", "p_name", word)))
-        .when(F.col("m") == 3, F.concat_ws(" ", "civic", "p_name", word, F.lit("Maple House"))).when(F.col("m") == 4, F.concat_ws(" ", "civic", "p_name", F.lit("blvd"))).otherwise(F.concat(key, F.lit("*")))
+        .when(F.col("m") == 3, F.concat_ws(" ", "civic", "p_name", word, F.lit("Maple House"))).when(F.col("m") == 4, F.concat_ws(" ", "civic", "p_name", F.lit("blvd")))
+        .when(F.col("m") == 5, F.concat_ws(" ", F.concat_ws(" - ", (F.col("civic") - 2).cast("bigint").cast("string"), (F.col("civic") + 2).cast("bigint").cast("string")), "p_name", word)).otherwise(F.concat(key, F.lit("*")))
     )
     out = matcher.matched(part.withColumn("source", noisy), part.where("m < 6").withColumn("key", key), "source", "key")
     return out.select("p_partkey", "match", "tier")
@@ -197,14 +199,16 @@ def q_unmatched_latest(s, d):
     return e.where("event_type = 'view'").join(last, "user_id", "left_anti").groupBy("user_id").agg(F.to_date(F.max("ts")).cast("string").alias("latest"))
 
 
-_EDGES = "SELECT DISTINCT concat('s', CAST(l_suppkey AS VARCHAR)) AS a, concat('p', CAST(l_partkey AS VARCHAR)) AS b FROM lineitem WHERE l_quantity = 1 AND l_returnflag = 'R' AND l_linestatus = 'F' AND l_tax = 0.02"
+_EDGES = """SELECT concat('c', CAST(c_custkey AS VARCHAR)) AS a, concat('g', CAST(c_custkey // 7 AS VARCHAR)) AS b FROM customer UNION SELECT concat('s', CAST(s_suppkey AS VARCHAR)), concat('g', CAST(s_suppkey * 3 // 4 AS VARCHAR)) FROM supplier"""
 _LABELS = f"""WITH RECURSIVE e AS ({_EDGES}), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM two UNION SELECT r.node, two.b FROM r JOIN two ON two.a = r.seen),
 labels AS (SELECT node, min(seen) AS component FROM r GROUP BY 1)"""
 
 
 def _edges(s, d):
-    lines = t(s, d, "lineitem").where("l_quantity = 1 and l_returnflag = 'R' and l_linestatus = 'F' and l_tax = 0.02")
-    return lines.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey")).alias("b")).distinct()
+    """All customers and suppliers with the groups that they belong to."""
+    customers = t(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("g"), F.floor(F.col("c_custkey") / 7)).alias("b"))
+    suppliers = t(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("a"), F.concat(F.lit("g"), F.floor(F.col("s_suppkey") * 3 / 4)).alias("b"))
+    return customers.union(suppliers)
 
 
 @q(_LABELS + " SELECT node, component FROM labels")
@@ -250,17 +254,17 @@ def q_claim_upsert(s, d):
     return claims.upserted(old, new)
 
 
-_FIRST, _LAST = ["Harbour", "Maple", "City of Springfield", "Jane", "Hill", "123456"], ["Holdings Ltd", "Housing Society", "Trust", "Doe", "Co-op", "B.C. Ltd"]
+_FIRST, _LAST = ["Harbour", "Maple", "City of Vancouver", "Jane", "Hill", "123456"], ["Holdings Ltd", "Housing Society", "Trust", "Doe", "Co-op", "B.C. Ltd"]
 
 
-@q("""WITH n AS (SELECT p_partkey, concat(['Harbour','Maple','City of Springfield','Jane','Hill','123456'][p_partkey % 6 + 1], ' ', ['Holdings Ltd','Housing Society','Trust','Doe','Co-op','B.C. Ltd'][p_size % 6 + 1]) AS name FROM part)
+@q("""WITH n AS (SELECT p_partkey, concat(['Harbour','Maple','City of Vancouver','Jane','Hill','123456'][p_partkey % 6 + 1], ' ', ['Holdings Ltd','Housing Society','Trust','Doe','Co-op','B.C. Ltd'][p_size % 6 + 1]) AS name FROM part)
 SELECT p_partkey, name, CASE WHEN name LIKE 'City of%' THEN 'government' WHEN name LIKE '%Co-op' THEN 'coop' WHEN name LIKE '123456 B.C. Ltd' THEN 'numbered_company' WHEN name LIKE '%Ltd' THEN 'company' WHEN name LIKE '%Society' THEN 'non_profit'
 WHEN name LIKE '%Trust' THEN 'trust' WHEN name LIKE '123456%' THEN 'unknown' ELSE 'individual' END AS kind, CASE WHEN n >= 10 THEN 'large' WHEN n >= 2 THEN 'small' ELSE 'single' END AS scale FROM n JOIN (SELECT name AS nm, count(*) AS n FROM n GROUP BY 1) ON nm = name""")
 def q_rule_classify(s, d):
     pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (k % 6 + 1).cast("int"))
     n = t(s, d, "part").select("p_partkey", F.concat_ws(" ", pick(_FIRST, F.col("p_partkey")), pick(_LAST, F.col("p_size"))).alias("name"))
     counts = n.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(counts, "name").select("p_partkey", "name", N.first_rule(F.col("name")).alias("kind"), M.scale(F.col("n")).alias("scale"))
+    return n.join(counts, "name").select("p_partkey", "name", N.kind_of_name(F.col("name")).alias("kind"), M.scale(F.col("n")).alias("scale"))
 
 
 @q("""WITH b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN concat('reg ', CAST(o_custkey % 7 AS VARCHAR)) END AS reg, CASE WHEN o_orderkey % 3 > 0 THEN concat('lic ', CAST(o_custkey % 4 AS VARCHAR)) END AS lic,
@@ -290,6 +294,6 @@ def q_parties(s, d):
     return sets.select("l_orderkey", F.transform("x", lambda p: F.concat_ws(":", p["role"], p["name"].cast("string"))).alias("parties"), F.size("x").cast("bigint").alias("n"))
 
 
-@q("""SELECT s_suppkey, n, companions FROM (SELECT l_suppkey AS s_suppkey, count(*) AS n, list(DISTINCT l_partkey ORDER BY l_partkey) AS companions FROM lineitem WHERE l_quantity > 48 GROUP BY 1)""")
+@q("""SELECT s_suppkey, n, companions FROM (SELECT l_suppkey AS s_suppkey, count(*) AS n, list(DISTINCT l_partkey ORDER BY l_partkey) AS companions FROM lineitem GROUP BY 1)""")
 def q_network_totals(s, d):
-    return t(s, d, "lineitem").where("l_quantity > 48").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("l_partkey")).alias("companions"))
+    return t(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("l_partkey")).alias("companions"))

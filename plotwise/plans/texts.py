@@ -103,7 +103,7 @@ def q_violations(s, d):
     return contract.violations(t(s, d, "customer"), required=["c_custkey"], enums={"c_mktsegment": ("BUILDING", "MACHINERY")}, ranges={"c_acctbal": (0, 1e9)})
 
 
-@q()
+@q("""SELECT CAST(to_json(struct_pack(c_custkey := c_custkey, c_name := c_name, balance := CASE WHEN c_acctbal > 0 THEN c_acctbal END, place := struct_pack(nation := c_nationkey))) AS VARCHAR) AS json FROM customer""")
 def q_export_json(s, d):
     return contract.records(t(s, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"), F.struct(F.col("c_nationkey").alias("nation")).alias("place")))
 
@@ -113,7 +113,7 @@ def q_csv_lines(s, d):
     return sinks.csv_lines(t(s, d, "nation").select("n_nationkey", F.concat("n_name", F.lit(', "the nation"')).alias("name"), "n_regionkey"))
 
 
-@q()
+@q("""SELECT p_partkey, CAST(p_size * 98 AS DOUBLE) AS fee, DATE '2026-01-01' AS issued, false AS non_profit, 'rate' AS reading, p_size AS dwellings, 0 AS housekeeping, 0 AS sleeping, 0 AS pool, true AS certain FROM part""")
 def q_fee_decode(s, d):
     """Fees made from part sizes, read back as dwellings."""
     licences = t(s, d, "part").select("p_partkey", (F.col("p_size") * fees.DWELLING).cast("double").alias("fee"), F.to_date(F.lit("2026-01-01")).alias("issued"), F.lit(False).alias("non_profit"))
@@ -156,16 +156,28 @@ def q_bounds(s, d):
     return t(s, d, "embeddings").groupBy("label").agg(F.round(F.min(x), 6).alias("west"), F.round(F.max(x), 6).alias("east"), F.round(F.min(y), 6).alias("south"), F.round(F.max(y), 6).alias("north"))
 
 
-@q("SELECT polygon_id, CAST(cx AS DOUBLE) AS cx, CAST(cy AS DOUBLE) AS cy FROM (VALUES (1, 0.05, 0.05), (2, -0.075, 0.05), (3, -0.175, -0.15)) AS v(polygon_id, cx, cy)")
+def _box_of(x0, y0, x1, y1):
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1))).cast(spatial.RINGS)
+
+
+@q("SELECT p_partkey AS polygon_id, p_partkey + p_size / 2.0 AS cx, CAST(p_size AS DOUBLE) AS cy FROM part")
 def q_centroids(s, d):
+    """Centroids of boxes as wide as the part's size and twice as high."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rows = t(s, d, "part").select(k.alias("polygon_id"), _box_of(k, F.lit(0), k + size, 2 * size).alias("rings"))
     cx, cy = spatial.centroid(F.get("rings", F.lit(0)))
-    return _boxes(s).select("polygon_id", F.round(cx, 9).alias("cx"), F.round(cy, 9).alias("cy"))
+    return rows.select("polygon_id", F.round(cx, 6).alias("cx"), F.round(cy, 6).alias("cy"))
 
 
-@q("SELECT unnest([1, 2, 3]) AS polygon_id")
+@q("""SELECT DISTINCT s_suppkey AS polygon_id FROM supplier JOIN nation ON s_suppkey % 300 <= n_nationkey * 10 + 4.5 AND s_suppkey % 300 + 2 >= n_nationkey * 10 + 0.5 AND s_suppkey % 11 <= 5.5 AND s_suppkey % 11 + 1 >= 0.5""")
 def q_polygon_meet(s, d):
-    other = s.createDataFrame([(9, [[(-0.1, -0.05), (0.02, -0.05), (0.02, 0.02), (-0.1, 0.02)]])], f"polygon_id int, rings {spatial.RINGS}")
-    return spatial.intersecting(_boxes(s), other, 0.1)
+    """Suppliers' boxes that meet a nation's."""
+    k, x, y = F.col("s_suppkey"), F.col("s_suppkey") % 300, F.col("s_suppkey") % 11
+    rows = t(s, d, "supplier").select(k.alias("polygon_id"), _box_of(x, y, x + 2, y + 1).alias("rings"))
+    n = F.col("n_nationkey")
+    nations = t(s, d, "nation").select(n.alias("polygon_id"), _box_of(n * 10 + 0.5, F.lit(0.5), n * 10 + 4.5, F.lit(5.5)).alias("rings"))
+    return spatial.intersecting(rows, nations, 10.0).select("polygon_id").distinct()
 
 
 def _facet_rows(s, d):

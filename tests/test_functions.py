@@ -32,7 +32,7 @@ def applied(spark, expression, values):
         (N.owner_key, [("Société Générale", "socie-te-ge-ne-rale"), ("", "unknown"), (None, "unknown"), ("A & B Ltd.", "a-b-ltd")]),
         (N.match_key, [("Smith Holdings Ltd.", "smithholding"), ("SMITH HOLDING LIMITED", "smithholding")]),
         (N.owner_label, [("['A', 'B']", "A, B"), ("[A]", "A"), ("'A'", "A"), ("", "(Unknown)"), (None, "(Unknown)"), ("A, B", "A, B")]),
-        (N.first_rule, [("City of Springfield", "government"), ("Sunrise Housing Co-op", "coop"), ("1234567 B.C. Ltd.", "numbered_company"), ("Maple Society", "non_profit"), ("Doe, Jane", "individual"), ("Family Trust", "trust"), ("", "unknown"), (None, "unknown")]),
+        (N.kind_of_name, [("City of Vancouver", "government"), ("Provincial Rental Housing Corporation", "government"), ("Hill Realty Group", "company"), ("Oak Limited Partnership", "partnership"), ("Sun Trust Company", "company"), ("Jane Q Doe", "individual"), ("Oak Manor", "unknown"), ("A. & B. Doe", "unknown"), ("Helper Society Ltd", "non_profit"), ("7654321 British Columbia Inc", "numbered_company"), ("Sunrise Housing Co-op", "coop"), ("1234567 B.C. Ltd.", "numbered_company"), ("Maple Society", "non_profit"), ("Doe, Jane", "individual"), ("Family Trust", "trust"), ("", "unknown"), (None, "unknown")]),
         (N.sector, [("x Private", "private"), ("Non-profit", "nonprofit"), ("something private", None)]),
     ],
 )
@@ -63,3 +63,19 @@ def test_numbers(spark):
         M.full_year(F.lit(26)).alias("d"), M.scale(F.lit(0)).alias("e"), M.scale(F.lit(10)).alias("f"), M.bucket(F.lit(0.3)).alias("g"), M.slider_value(M.slider(F.lit(50.0), 5, 500, True), 5, 500, True).alias("h"),
     ).first()
     assert (row.a, row.b, row.c, row.d, row.e, row.f, row.g) == (0.75, None, 0.5, 2026, None, "large", 2) and abs(row.h - 50) < 1e-9
+
+
+def test_very_long_addresses(spark):
+    """Patterns on free text neither fill the stack nor try all ways to cut it."""
+    long = ["1 " + "abc " * 20_000 + "st tail", "1 " + "e " * 20_000, "5 " + "w " * 20_000 + "main st west tail", "x" * 200_000, "1 - " * 30_000]
+    for key in (A.without_name, A.loose_key, A.address_key, lambda c: A.split_name(c)["address"]):
+        assert len(applied(spark, key, long)) == len(long)
+    assert applied(spark, A.without_name, ["1 " + "abc " * 20_000 + "st tail"])[0].endswith("abc st")
+
+
+def test_links(spark):
+    from plotwise.functions import links
+
+    got = applied(spark, links.deep_link, ["#pid=012-345-678&pid=9", "lat=49.2&lon=-123.1", "lat=49.2&lon=0", "#address=%31+Main%20St", "address=%zz", "", None])
+    assert [x and tuple(x) for x in got] == [("012345678", None, None, None), (None, 49.2, -123.1, None), None, (None, None, None, "1 Main St"), None, None, None]
+    assert applied(spark, links.short_key, ["1865 E 10TH AV", "341 East Hastings St."]) == ["1865 e 10th ave", "341 e hastings st"]

@@ -126,3 +126,35 @@ def test_contract(spark):
     assert {r.rule: r.n for r in contract.violations(df, required=["name"], ranges={"n": (0, 1)}).collect()} == {"name is null": 1, "n is out of range": 1, "name is a placeholder": 1}
     with pytest.raises(PySparkException):
         contract.require_version(spark.createDataFrame([(5,)], "schema_version int")).collect()
+
+
+def test_numbers_of_many_rows(spark):
+    """Numbers, ranks and quantiles over more rows than one range holds, with wide columns."""
+    from plotwise.operators import ranks
+
+    rows = spark.range(1_000_000).select(F.xxhash64("id").alias("k"), (F.col("id") % 7919).alias("v"), F.repeat(F.lit("x"), 50).alias("wide"))
+    out = ranks.numbered(rows, ["k"], "n")
+    assert tuple(out.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()) == (1_000_000, 1, 1_000_000)
+    late = out.select("k", "n").alias("a").join(out.select((F.col("n") - 1).alias("n"), F.col("k").alias("next")).alias("b"), "n").where("k >= next")
+    assert late.isEmpty()
+    below = ranks.counts_below(rows, "v").where("v in (0, 1, 7918)").select("v", "below", "total").orderBy("v").collect()
+    at = lambda v: 1_000_000 // 7919 + (v < 1_000_000 % 7919)
+    assert [tuple(r) for r in below] == [(0, 0, 1_000_000), (1, at(0), 1_000_000), (7918, 1_000_000 - at(7918), 1_000_000)]
+
+
+def test_quantiles_with_nulls_and_ties(spark):
+    from plotwise.operators import ranks
+
+    rows = [("a", v) for v in (5.0, 1.0, 1.0, 9.0)] + [("b", 2.0), (None, 3.0), (None, 4.0), ("c", None)]
+    got = {r.g: (r.low, r.mid) for r in ranks.quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", low=0.25, mid=0.5).collect()}
+    assert got == {"a": (1.0, 3.0), "b": (2.0, 2.0), None: (3.25, 3.5)}
+
+
+def test_added_buildings(spark):
+    from plotwise.operators import listings
+
+    rows = [(1, "10 Main Street", 4), (2, "#3 - 10 Main St", 9), (3, "99 Oak Ave", 2), (4, None, 1), (5, "20 Elm Road", 0), (6, "7 Nowhere St", 3)]
+    known = spark.createDataFrame([("99 oak ave",)], "key string")
+    points = spark.createDataFrame([("10 main st", 2, 1.0, 2.0, "East"), ("10 main st", 1, 3.0, 4.0, " "), ("20 elm rd", 1, 5.0, 6.0, "North"), ("7 nowhere st", 1, None, 1.0, "x")], "key string, pos int, lat double, lon double, area string")
+    out = listings.added_buildings(spark.createDataFrame(rows, "id int, address string, units int"), known, points).orderBy("key").collect()
+    assert [(r.key, r.lat, r.units, r.local_area, r.ids) for r in out] == [("10 main st", 3.0, 9.0, "(Unknown)", [1, 2]), ("20 elm rd", 5.0, None, "North", [5])]
