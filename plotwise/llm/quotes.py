@@ -3,15 +3,19 @@
 Lines that start with ``>`` are quotes; as many ``>`` as stand there, so deep they are nested.  Neighbouring lines of
 one level are a passage.  A passage, and each of its lines, is normalised (lower case, blanks collapsed) and hashed;
 the hashes are joined to those of the messages' own words: whole, by paragraph and by line.  An earlier message of the
-same conversation comes first, else the first one of another conversation.  A message replies to the latest message of its
-conversation that its outermost quotes lead to; replies form threads, and a conversation is ordered by thread and
-turn.  Quotes, and the lines that announce them, are left out of the text.
+same conversation comes first, else the first one of the least other conversation; in either, messages that hold the
+whole passage come before those that hold only a line of it.  Of several messages that hold it the first counts, so
+that each place is one aggregate and no pairs are made.  A message replies to where the least nested of its linked quotes lead to in its
+conversation, the latest if there are several; replies form threads, and a conversation is ordered by thread and turn.
+Quotes, and the lines that announce them, are left out of the text.
 
-DataFrame functions only.  Positions in a conversation are counted over sorted ranges, so that a conversation or a
-quoted text with a third of all rows is spread over tasks.
+DataFrame functions only.  Patterns match character classes and have no repeated groups, so that a line of any length
+is read in linear time and without a deep stack.  Positions in a conversation are counted over sorted ranges, so that
+a conversation or a quoted text with a third of all rows is spread over tasks.
 
 Defined cases: a null text has no quotes and an empty body; null ids are kept, and link with nothing; messages of equal
-(conv_id, turn) share their thread; quotes of unknown text stay unlinked; other columns are ignored.
+(conv_id, turn) share their thread, and those of them that quote
+share their links; quotes of unknown text stay unlinked; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,81 +27,94 @@ from pyspark.sql.window import Window
 from .common import cut, table
 from .components import apart
 
-_MARK = r"^((?:[ \t]*>)+)[ \t]?"
-_ANNOUNCED = r"(?i)^.{0,200}\b(wrote|writes|said|schrieb|escribió|écrit)[ \t]*:[ \t]*$"
+_LEAD = r"^[ \t>]*+"
+_MARK = r"^[ \t>]*>[ \t]?"
+_ANNOUNCED = r"(?i)^.{0,200}\b(wrote|writes|said|schrieb|escribió|écrit)[ \t]*+:[ \t]*+$"
+_BLANKS = " \t\n\r\f\x0b"
 
 
 def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-
-
-def hashed(text: Column) -> Column:
-    return F.sha2(normalised(text), 256)
+    return F.trim(F.regexp_replace(F.lower(text), r"\s++", " "))
 
 
 def _filled(texts: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(texts, normalised), lambda x: x != ""))
 
 
+def level_of(line: Column) -> Column:
+    """How many ``>`` stand, with blanks between, at the start of the line."""
+    lead = F.regexp_extract(line, _LEAD, 0)
+    return F.length(lead) - F.length(F.replace(lead, F.lit(">"), F.lit("")))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """Adds lines (level, content), body and passages (level, content, lines)."""
+    """Adds lines (level, content), body and passages (level, contents)."""
     lines = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
-    line = lambda x: F.struct(
-        F.length(F.regexp_replace(F.regexp_extract(x, _MARK, 1), "[^>]", "")).alias("level"), F.regexp_replace(x, _MARK, "").alias("content")
-    )
+    line = lambda x: F.struct(level_of(x).alias("level"), F.regexp_replace(x, _MARK, "").alias("content"))
     with_lines = messages.withColumn("lines", F.transform(lines, line))
     level = lambda i: F.get(F.col("lines"), i)["level"]
-    own = F.filter(
-        F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), x["content"].alias("content"), (F.coalesce(level(i + 1), F.lit(0)) > 0).alias("before"))),
-        lambda x: (x["level"] == 0) & ~(x["before"] & x["content"].rlike(_ANNOUNCED)),
-    )
+    before_quote = lambda i: F.coalesce(level(i + 1), F.lit(0)) > 0
+    marked = F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), x["content"].alias("content"), before_quote(i).alias("before")))
+    own = F.filter(marked, lambda x: (x["level"] == 0) & ~(x["before"] & x["content"].rlike(_ANNOUNCED)))
     starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (level(i) != F.coalesce(level(i - 1), F.lit(-1))))
     spans = F.transform("starts", lambda s, k: F.struct(s.alias("start"), (F.coalesce(F.get(F.col("starts"), k + 1), F.size("lines")) - s).alias("n")))
-    passage = lambda x: F.struct(
-        level(x["start"]).alias("level"), F.transform(F.slice("lines", x["start"] + 1, x["n"]), lambda y: y["content"]).alias("contents")
-    )
+    contents = lambda x: F.transform(F.slice("lines", x["start"] + 1, x["n"]), lambda y: y["content"])
+    passage = lambda x: F.struct(level(x["start"]).alias("level"), contents(x).alias("contents"))
+    body = F.regexp_replace(F.array_join(F.transform(own, lambda x: x["content"]), "\n"), r"\n{3,}+", "\n\n")
     return (
-        with_lines.withColumn("body", F.regexp_replace(F.regexp_replace(F.array_join(F.transform(own, lambda x: x["content"]), "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", ""))
+        with_lines.withColumn("body", F.btrim(body, F.lit(_BLANKS)))
         .withColumn("starts", starts)
         .withColumn("passages", F.filter(F.transform(spans, passage), lambda x: x["level"] > 0))
         .drop("starts")
     )
 
 
-def linked(messages: DataFrame) -> DataFrame:
-    """Per message: conv_id, turn, role, body, n_quotes, quote_depth, n_linked, reply_to, reply_conv, thread, position."""
-    rows = cut(parsed(messages.select("conv_id", "turn", "role", "text")).select("conv_id", "turn", "role", "body", "passages"))
+def _links(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, n_linked, reply_to, far) of the messages with quotes."""
     units = F.array_distinct(F.concat(_filled(F.array("body")), _filled(F.split("body", r"\n\s*\n")), _filled(F.split("body", "\n"))))
-    said = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(units).alias("unit")).select("conv_id", "turn", F.sha2("unit", 256).alias("hash"))
-    nearby = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("near_turn"))
-    anywhere = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    known = rows.where("conv_id is not null and turn is not null")
+    said = known.select("conv_id", "turn", F.explode(units).alias("unit")).select("conv_id", "turn", F.sha2("unit", 256).alias("hash"))
+    unit = lambda text, whole: F.transform(text, lambda x: F.struct(x.alias("text"), F.lit(whole).alias("whole")))
+    asked = F.concat(unit(_filled(F.array(F.array_join("passage.contents", " "))), 1), unit(_filled(F.col("passage.contents")), 0))
     quotes = (
-        rows.where((F.size("passages") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+        known.where(F.size("passages") > 0)
         .select("conv_id", "turn", F.posexplode("passages").alias("number", "passage"))
-        .select("conv_id", "turn", "number", F.col("passage.level").alias("level"), F.explode(F.concat(_filled(F.array(F.array_join("passage.contents", " "))), _filled(F.col("passage.contents")))).alias("unit"))
-        .select("conv_id", "turn", "number", "level", F.sha2("unit", 256).alias("hash"))
-        .distinct()
-    )
+        .select("conv_id", "turn", "number", F.col("passage.level").alias("level"), F.explode(asked).alias("unit"))
+        .select("conv_id", "turn", "number", "level", F.sha2("unit.text", 256).alias("hash"), F.col("unit.whole").alias("whole"))
+        .groupBy("conv_id", "turn", "number", "level", "hash").agg(F.max("whole").alias("whole"))
+    )
+    # What is said matters only where somebody quotes it: the hashes that are asked for, one row each.
     fresh = lambda frame: frame.withColumn("hash", F.concat("hash", F.lit("")))  # noqa: E731  dealt out anew, so that a hot hash can be split
-    later = nearby.join(fresh(anywhere), "hash").where(F.col("conv_id") > F.col("first.conv_id"))
-    second = later.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("near_turn").alias("turn"))).alias("second"))
+    heard = said.join(fresh(quotes.select("hash").distinct()), "hash", "left_semi")
+    places = cut(heard.groupBy("hash", "conv_id").agg(F.min("turn").alias("turn")))
+    first = places.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    second = places.join(fresh(first), "hash").where(F.col("conv_id") > F.col("first.conv_id")).groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("second"))
+    abroad = cut(first.join(second, "hash", "left"))
     found = (
-        quotes.join(nearby.withColumn("conv_id", apart("conv_id")), ["conv_id", "hash"], "left")
-        .join(fresh(anywhere.join(second, "hash", "left")), "hash", "left")
+        quotes.join(places.select(apart("conv_id").alias("conv_id"), "hash", F.col("turn").alias("near_turn")), ["conv_id", "hash"], "left")
+        .join(fresh(abroad), "hash", "left")
         .withColumn("near_turn", F.when(F.col("near_turn") < F.col("turn"), F.col("near_turn")))
-        .withColumn("far", F.when(F.col("near_turn").isNull(), F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))))
-        .groupBy("conv_id", "turn", "number", "level")
-        .agg(F.max("near_turn").alias("near_turn"), F.min("far").alias("far"))
-        .groupBy("conv_id", "turn")
-        .agg(
-            F.count_if(F.col("near_turn").isNotNull() | F.col("far").isNotNull()).alias("n_linked"),
-            F.max_by("near_turn", F.struct(-F.col("level"), F.col("near_turn"))).alias("reply_to"),
-            F.min("far").alias("far"),
-        )
+        .withColumn("far", F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second")))
+    )
+    of = lambda place, whole: F.when(F.col("whole") == whole, F.col(place))
+    passages = found.groupBy("conv_id", "turn", "number", "level").agg(
+        F.coalesce(F.max(of("near_turn", 1)), F.max(of("near_turn", 0))).alias("near_turn"), F.coalesce(F.min(of("far", 1)), F.min(of("far", 0))).alias("far")
     )
-    found = cut(found)
+    passages = passages.withColumn("far", F.when(F.col("near_turn").isNull(), F.col("far")))
+    order = F.when(F.col("near_turn").isNotNull(), F.struct(-F.col("level"), F.col("near_turn")))
+    return passages.groupBy("conv_id", "turn").agg(
+        F.count_if(F.col("near_turn").isNotNull() | F.col("far").isNotNull()).alias("n_linked"), F.max_by("near_turn", order).alias("reply_to"), F.min("far").alias("far")
+    )
+
+
+def linked(messages: DataFrame) -> DataFrame:
+    """Per message: conv_id, turn, role, body, n_quotes, quote_depth, n_linked, reply_to, reply_conv, thread, position."""
+    rows = cut(parsed(messages.select("conv_id", "turn", "role", "text")).select("conv_id", "turn", "role", "body", "passages"))
+    found = cut(_links(rows))
     threads = _threads(found.where("reply_to is not null").select("conv_id", "turn", "reply_to"))
-    out = rows.join(found, ["conv_id", "turn"], "left").join(threads, ["conv_id", "turn"], "left")
+    quoting = F.size("passages") > 0
+    out = rows.join(found, ["conv_id", "turn"], "left").withColumns({c: F.when(quoting, F.col(c)) for c in ("n_linked", "reply_to", "far")})
+    out = out.join(threads, ["conv_id", "turn"], "left")
     out = out.select(
         "conv_id", "turn", "role", "body", F.size("passages").cast("long").alias("n_quotes"),
         F.coalesce(F.array_max(F.transform("passages", lambda x: x["level"])), F.lit(0)).cast("long").alias("quote_depth"),
