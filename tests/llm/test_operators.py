@@ -107,8 +107,8 @@ def test_quality_held_out(spark):
 def test_url_rules(spark):
     urls = ["http://A.Example.com/en/1?x", "https://example.com/en/72", "https://x.net/de/1", "http://example.net/de/8#y", "http://notcom/en/", "http://com/en/", None, "no scheme", "http://a.org/es", "http://a.org/es/", "a://h://com/en/"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string").withColumns({"host": F.lit("z"), "token": F.lit("z")})
-    none = spark.createDataFrame([], "rule_id string, tokens array<string>, confidence double")
-    got = [tuple(r) for r in url_rules.judge(pages, none).select("page_id", "host", "path", "rule", "verdict").orderBy("page_id").collect()]
+    none = spark.createDataFrame([], "rule_id string, items array<string>, confidence double"), spark.createDataFrame([], "token string, item string, n long")
+    got = [tuple(r) for r in url_rules.judge(pages, *none).select("page_id", "host", "path", "rule", "verdict").orderBy("page_id").collect()]
     assert got == [
         (0, "a.example.com", "/en/1", "com/en/", "block"), (0, "a.example.com", "/en/1", "com/en/", "block"), (1, "example.com", "/en/72", "example.com/en/7", "allow"), (2, "x.net", "/de/1", "net/de/", "block"), (3, "example.net", "/de/8", "example.net/de/8", "allow"),
         (4, "notcom", "/en/", None, "allow"), (5, "com", "/en/", "com/en/", "block"), (6, "", "", None, "allow"), (7, "", "", None, "allow"), (8, "a.org", "/es", None, "allow"), (9, "a.org", "/es/", "org/es/", "block"), (10, "h:", "//com/en/", None, "allow"),
@@ -117,8 +117,8 @@ def test_url_rules(spark):
 
 def test_mined_rules(spark):
     rows = [(f"http://casino.site{k % 9}.example/win/{k}", True) for k in range(40)] + [(f"http://news.site{k % 9}.example/win/{k}", False) for k in range(120)] + [(f"http://casino.site{k % 9}.example/help/{k}", False) for k in range(40)]
-    rules = url_rules.mine_rules(spark.createDataFrame([*rows, (None, True)], "url string, bad boolean"), 0.05, 0.9)
-    got = {r.url for r in url_rules.match_rules(spark.createDataFrame([(u,) for u, _ in rows] + [(None,)], "url string"), rules).collect()}
+    rules, items = url_rules.mine_rules(spark.createDataFrame([*rows, (None, True)], "url string, bad boolean"), 0.05, 0.9)
+    got = {r.url for r in url_rules.match_rules(spark.createDataFrame([(u,) for u, _ in rows] + [(None,)], "url string"), rules, items).collect()}
     assert got == {u for u, bad in rows if bad}
 
 
