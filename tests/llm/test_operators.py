@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plotwise.llm import bpe, decontaminate, licences, quality, quotes, repeats, secrets, simhash, url_rules, vectors
+from plotwise.llm import bpe, decontaminate, quality, quotes, repeats, secrets, simhash, url_rules, vectors
 from plotwise.llm.components import components
 
 WORDS = [a + b for a in "ba ke li mo nu ra se ti".split() for b in "n r s t l m".split()]
@@ -195,12 +195,6 @@ def test_utf8_stream_in_any_portions():
         assert text == data.decode("utf-8", "replace")
 
 
-def test_licences(spark):
-    files = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0"), (2, "a/b/c/x.py", "code"), (3, "a/b/y.py", "# Released under the MIT License\nmore"), (4, "z/q.py", None), (5, None, ""), (6, "a/b/c/x.py", "code"), (7, "a/b/COPYING", "x\nThis work is licensed under the GNU General Public License, version 3.\n" + "word " * 900)]
-    got = {r.doc_id: (r.own, r.licence, r.inherited_from) for r in licences.scan_files(spark.createDataFrame(files, "doc_id long, path string, text string").withColumn("folder", F.lit("clash"))).collect()}
-    assert got == {1: ("Apache-2.0", "Apache-2.0", None), 2: (None, "GPL-3.0", "a/b"), 3: ("MIT", "MIT", None), 4: (None, None, None), 5: (None, None, None), 6: (None, "GPL-3.0", "a/b"), 7: ("GPL-3.0", "GPL-3.0", None)}
-
-
 def brute_fingerprint(text):
     words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
@@ -339,13 +333,6 @@ def test_secrets_of_every_alphabet():
         assert secrets.scan(words) == []
 
 
-def test_long_texts_are_licence_files():
-    """However many distinct words a text has, its cosine as a whole decides."""
-    frequencies = {"": 1000, **dict.fromkeys((w for _, t in licences.TEMPLATES for w in licences.terms(t)), 3)}
-    text = "Licensed under the Apache License, Version 2.0\n" * 60 + "\n".join(f"word{k}" for k in range(500))
-    assert licences.Matcher(licences.TEMPLATES, frequencies).scan(text)[3] == "Apache-2.0"
-
-
 def test_quotes_of_what_the_own_conversation_says_later(spark):
     rows = [(1, 0, "user", "> the quoted line\n\nthe quoted line"), (2, 3, "user", "The quoted line"), (3, 0, "user", "the quoted line")]
     got = {r.conv_id: (r.n_linked, r.reply_to, r.reply_conv) for r in quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
