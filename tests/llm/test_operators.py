@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plotwise.llm import bpe, decontaminate, quality, quotes, repeats, secrets, simhash, url_rules, vectors
+from plotwise.llm import bpe, quality, quotes, repeats, secrets, simhash, url_rules, vectors
 from plotwise.llm.components import components
 
 WORDS = [a + b for a in "ba ke li mo nu ra se ti".split() for b in "n r s t l m".split()]
@@ -148,28 +148,6 @@ def test_quotes(spark):
     assert sorted(r.position for r in quotes.linked(df).where("conv_id = 1").collect()) == [1, 2, 3, 4, 5]
 
 
-def test_decontaminate(spark):
-    rng = random.Random(8)
-    items = [(k, prose(rng, rng.randint(14, 40))) for k in range(25)] + [(90, None), (91, ""), (92, items_text := prose(rng, 20)), (92, items_text)]
-    rows, expected = [], {}
-    for k, (item, text) in enumerate(items[:25]):
-        words = text.split()
-        for e in range(len(words) // 5 if k % 2 else 0):
-            words[(e * 5 + k) % len(words)] = f"zzz{e}"
-        rows.append((k, prose(rng, 50) + " " + " ".join(words).upper() + " " + prose(rng, 30)))
-        expected[k] = [item]
-    rows += [(100, prose(rng, 400)), (101, None), (102, ""), (103, items_text), (103, items_text)]
-    found = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string").withColumn("item", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert len(found) == len(rows)
-    got = {r.doc_id: r["items"] for r in found}
-    assert sum(got[k] == x for k, x in expected.items()) >= 0.95 * len(expected)
-    assert got[100] == got[101] == got[102] == [] and got[103] == [92]
-
-
-def test_edit_distance_of_a_stretch():
-    assert decontaminate.edits_to_stretch([1, 2, 3], [9, 1, 3, 9], 2) == 1 and decontaminate.edits_to_stretch([1, 2, 3], [7, 7], 1) > 1
-
-
 def test_bpe_is_tiktoken(texts):
     import public_tokenizers
     import tiktoken
