@@ -27,6 +27,12 @@ def ready_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Removes a folder, by the file system that Spark uses for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     ready_checkpoints(df.sparkSession)

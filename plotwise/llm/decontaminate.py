@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -159,22 +160,31 @@ class Index:
                     found[size].append(np.arange(place - offset - self.shift[size], place - offset + self.shift[size] + 1))
         return {size: np.unique(np.concatenate(starts)) for size, starts in found.items()}
 
-    def candidates(self, symbols: np.ndarray) -> set[tuple[int, int]]:
-        """(piece, start of its window) of all that share a table's entry, some thousand windows at a time."""
-        found: set[tuple[int, int]] = set()
+    def candidates(self, symbols: np.ndarray) -> dict[int, list[np.ndarray]]:
+        """For each piece the starts of the windows that share a table's entry with it, some thousand windows at a time.
+
+        The pieces of an entry share the array of its windows; no pair of a piece and a window is made.
+        """
+        found: dict[int, list[np.ndarray]] = defaultdict(list)
         padded = np.concatenate([np.zeros(self.span, np.uint64), symbols, np.zeros(2 * self.span, np.uint64)])  # 0 stands in no piece
         for size, starts in self.places(symbols).items():
             starts = starts[(starts > -size) & (starts < len(symbols))]
+            tables = self.tables[size]
             for at in range(0, len(starts), WINDOWS):
                 part = starts[at : at + WINDOWS]
                 windows = padded[(part + self.span)[:, None] + np.arange(size)]
-                for number, (sample, keys, numbers) in enumerate(self.tables[size]):
-                    if number % (len(self.tables[size]) // len(self.seeds)) == 0:
-                        written = self.walk(windows, number * len(self.seeds) // len(self.tables[size]), size)
+                for number, (sample, keys, numbers) in enumerate(tables):
+                    walk, sampled = divmod(number, len(tables) // len(self.seeds))
+                    if not sampled:
+                        written = self.walk(windows, walk, size)
                     own = self._keys(written[:, sample].T)
-                    low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
-                    for k in np.flatnonzero(high > low).tolist():
-                        found.update((piece, int(part[k])) for piece in numbers[low[k] : high[k]].tolist())
+                    low = np.searchsorted(keys, own)
+                    hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == own)
+                    hit = hit[np.argsort(low[hit], kind="stable")]
+                    for same in np.split(hit, np.flatnonzero(np.diff(low[hit])) + 1) if len(hit) else ():
+                        entry = low[same[0]]
+                        for piece in numbers[entry : np.searchsorted(keys, keys[entry], "right")].tolist():
+                            found[piece].append(part[same])
         return found
 
     def holds(self, text: str | None) -> list[int]:
@@ -183,21 +193,22 @@ class Index:
         symbols = np.array([known(w, 1) for w in words_of(text)], np.uint64)
         if not len(symbols) or not self.items:
             return []
-        around: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for piece, start in self.candidates(symbols):
+        around: dict[int, list[np.ndarray]] = defaultdict(list)
+        for piece, starts in self.candidates(symbols).items():
             for item, offset in self.owners[piece]:
-                size, most = len(self.items[item]), self.edits[item]
-                around[item].append((max(0, start - offset - 2 * most), max(0, start - offset + size + 2 * most)))
-        out: set[int] = set()
-        for item, stretches in around.items():
-            low, high = None, -1
-            for a, b in [*sorted(stretches), (1 << 62, 0)]:  # overlapping stretches are read once
-                if low is not None and a > high:
-                    if edits_to_stretch(self.items[item], symbols[low:high].tolist(), self.edits[item]) <= self.edits[item]:
-                        out.update(self.ids[item])
-                        break
-                    low = None
-                low, high = (a, b) if low is None else (low, max(high, b))
+                around[item] += [s - offset for s in starts]
+        there, out = set(symbols.tolist()), set()
+        for item, starts in around.items():
+            words, most = self.items[item], self.edits[item]
+            if sum(w in there for w in words) < len(words) - most:  # each word that is not in the text is an edit
+                continue
+            low = np.unique(np.concatenate(starts)) - 2 * most
+            high = low + len(words) + 4 * most
+            breaks = np.flatnonzero(low[1:] > high[:-1]) + 1  # overlapping stretches are read once
+            for a, b in zip(low[np.concatenate(([0], breaks))].tolist(), high[np.concatenate((breaks - 1, [-1]))].tolist()):
+                if edits_to_stretch(words, symbols[max(a, 0) : max(b, 0)].tolist(), most) <= most:
+                    out.update(self.ids[item])
+                    break
         return sorted(out)
 
 
@@ -209,13 +220,13 @@ def _portions(benchmark: DataFrame) -> list[list[tuple[int, str | None]]]:
     return [[(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()] for k in range(parts)]
 
 
-_INDEX: dict[int, Index] = {}
+_INDEX: dict[str, Index] = {}
 
 
 def _found(docs: DataFrame, items: list[tuple[int, str | None]], text: str, name: str) -> DataFrame:
     """``docs`` with the array ``name`` of the items of a portion that the text column holds."""
     shared = docs.sparkSession.sparkContext.broadcast(items)  # a portion: bounded
-    number = id(shared) ^ hash(shared)
+    number = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number not in _INDEX:  # one index a worker, for the portion at hand
