@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -39,6 +40,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder: unlike a checkpoint, it does not hand on the partitioning of its plan.
+
+    A plan that is joined and united again and again collects so many partitionings that planning takes longer than running.
+    """
+    spark = df.sparkSession
+    ready_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def portions(batch: pa.RecordBatch, column: str = "text", rows: int = 2048, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
     """Slices of at most so many rows, and of little more than so many bytes in the column, whatever the batch holds."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 
 def apart(column: str) -> Column:
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Null ends and loops are ignored, repeated edges count once, an empty table gives an empty one.
     """
-    stars = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    stars = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
