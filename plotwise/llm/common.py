@@ -40,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """A saved ``df`` dealt out by a key to so many tasks that each has about so many rows, and every core some."""
+    parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(parts, key)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder: unlike a checkpoint, it does not hand on the partitioning of its plan.
 

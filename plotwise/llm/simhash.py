@@ -24,10 +24,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, table
+from .common import arrow_map, cut, spread, table
 from .components import apart, components
 
 WORDS, SEED, RADIUS, BLOCK, PORTION = 4, 42, 4, 512, 65_536
+FILED = 50_000  # fingerprints that one task files under some 67 places each
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -114,7 +115,7 @@ def _cross(radius: int):
 
 def linked(points: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """From (id, fp) of distinct fingerprints: (node, component) of those that link with another."""
-    places = filed(points, radius)
+    places = filed(spread(points, "fp", FILED), radius)
     kept = F.struct("fp", "id")
     sums = places.groupBy("place").agg(
         *(F.count_if(F.col("side") == s).alias(f"n{s}") for s in (0, 1, 2)),

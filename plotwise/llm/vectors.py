@@ -6,9 +6,11 @@ Int8 with a scale of their own; the norm of what rounding left over is known exa
     |cos - scale_a * scale_b * (qa . qb)| <= (1 + error_a) * error_b + error_a.
 
 Only pairs that may reach the threshold within that bound are computed again in double precision.  A tile gives a link
-count per vector and a forest of its links, never its pairs.  Equal vectors are one point with a weight.
+count per vector and a forest of its links, never its pairs.  Equal vectors are one point with a weight.  Vectors travel
+in the type that they come in, once for each block of their label; a product is cut into stripes, so that the size of a
+tile, and not its square, is what a task holds.
 
-Defined cases: null labels, and vectors that are null, empty, zero or hold null or non-finite numbers, link with
+Defined cases: rows without an id link with nothing, have no component and are not kept; null labels, and vectors that are null, empty, zero or hold null or non-finite numbers, link with
 nothing; vectors of different lengths do not link; repeated rows each count as a vector; other columns are ignored.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .components import components
 
-THRESHOLD, TILE = 0.98, 512
+THRESHOLD, TILE, STRIPE = 0.98, 4_096, 512
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,15 +34,25 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest number to about one: exact, and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the rows of ``x`` and ``y`` whose cosine reaches the threshold."""
     norm_x, norm_y = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
     qx, sx, ex = quantised(x / norm_x[:, None])
     qy, sy, ey = quantised(y / norm_y[:, None])
     kind = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64  # both hold the integer sums exactly
-    about = (qx.astype(kind) @ qy.astype(kind).T).astype(np.float64) * sx[:, None] * sy[None, :]
-    bound = (1 + ex)[:, None] * ey[None, :] + ex[:, None] + 1e-9
-    a, b = np.nonzero(about + bound >= threshold)
+    turned, found = qy.astype(kind).T, []
+    for at in range(0, len(x), STRIPE):
+        part = slice(at, at + STRIPE)
+        about = (qx[part].astype(kind) @ turned).astype(np.float64) * sx[part, None] * sy[None, :]
+        bound = (1 + ex[part])[:, None] * ey[None, :] + ex[part, None] + 1e-9
+        i, j = np.nonzero(about + bound >= threshold)
+        found.append((i + at, j))
+    a, b = (np.concatenate(z) for z in zip(*found))
     sure = np.empty(len(a), bool)
     for at in range(0, len(a), 65_536):
         part = slice(at, at + 65_536)
@@ -51,7 +63,7 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndar
 def _tile(threshold: float):
     def run(part: pa.Table) -> pa.Table:
         ids, weight, side = (part[c].to_numpy() for c in ("id", "n", "side"))
-        x = np.array(part["embedding"].to_pylist(), dtype=np.float64)
+        x = scaled(part["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = not len(two)
         a, b = close_pairs(x[one], x[one] if same else x[two], threshold)
@@ -59,19 +71,16 @@ def _tile(threshold: float):
             a, b = a[a < b], b[a < b]
         a, b = one[a], (one if same else two)[b]
         links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
-        root = list(range(len(ids)))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        forest = []
-        for k, m in zip(a.tolist(), b.tolist()):
-            if (p := find(k)) != (q := find(m)):
-                root[p] = q
-                forest.append((ids[k], ids[m], 0))
+        forest, component = [], np.arange(len(ids))
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        for group in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1) if len(a) else ():
+            k = a[group[0]]
+            others, first = np.unique(component[b[group]], return_index=True)
+            for other, at in zip(others.tolist(), first.tolist()):
+                if other != component[k]:
+                    component[component == other] = component[k]
+                    forest.append((ids[k], ids[b[group[at]]], 0))
         rows = [(ids[k], None, int(links[k])) for k in np.flatnonzero(links)] + forest
         return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("a", "b", "n"))})
 
@@ -80,7 +89,9 @@ def _tile(threshold: float):
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """From (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    embedding = F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
+    rows = vectors.select("vec_id", embedding.alias("embedding"), "label")
     sound = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
     points = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & sound).groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
     points = cut(points.withColumn("length", F.size("embedding")))
@@ -99,8 +110,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
         .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
     out = rows.join(known, ["label", "embedding"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.equal_null("vec_id", component).alias("kept"))
+    named = F.col("vec_id").isNotNull()
+    component = F.when(named, F.coalesce("component_id", "vec_id"))
+    links = F.coalesce(F.when(named, F.col("n_links")), F.lit(0).cast("long"))
+    return out.select("vec_id", links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,14 @@ def test_near_vectors(spark):
         assert got[i] == (len(near.get(i, ())), min(seen), min(seen) == i)
 
 
+def test_near_vectors_of_any_size(spark):
+    """Numbers near both ends of what doubles hold, rows without an id, and repeated rows."""
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1.0000001e200], 0), (3, [3e-200, 3e-200], 0), (None, [1e200, 1e200], 0), (4, [1.0, -1.0], 0), (4, [1.0, -1.0], 0), (5, [5e-324, 0.0], 0), (6, [1e300, 1e100], 0)]
+    out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile=2).collect()
+    got = sorted((tuple(r) for r in out), key=str)
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (None, 0, None, False), (4, 1, 4, True), (4, 1, 4, True), (5, 1, 5, True), (6, 1, 5, False)], key=str)
+
+
 def test_error_bounds_hold():
     x = np.random.default_rng(2).normal(size=(60, 24))
     unit = x / np.linalg.norm(x, axis=1)[:, None]
