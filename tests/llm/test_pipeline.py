@@ -66,6 +66,38 @@ def test_tokens(spark):
     assert sorted((tuple(r)[:4] for r in out), key=str) == sorted(((i, *codec.digest(t or "")) for i, t in rows), key=str)
 
 
+def test_crowded_near_copies(spark, monkeypatch):
+    """A large group, alike in parts only, in many small blocks, against all pairs."""
+    import random
+
+    from plotwise.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", 32)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    rows = []
+    for k in range(260):
+        words = list(base)
+        for _ in range(rng.choice((1, 2, 4, 6, 9, 14))):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    sets = [set(near_copies.shingles(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]) and find(i) != find(j):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert 10 < sum(root[k] == k for k in range(len(rows))) < 200
+    assert kept(spark, "near_dedup", rows) == sorted(((k, t) for k, t in rows if find(k) == k), key=str)
+
+
 @pytest.mark.parametrize("name", STAGE)
 def test_nothing_comes_of_nothing(spark, name):
     out = STAGE[name](spark, frame(spark, []), "/root/testdata/sf0.001")
