@@ -242,8 +242,9 @@ def test_repeats(spark, folder, texts, hot, monkeypatch):
 
 def test_components_star_and_path(spark):
     edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (7, 0)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[k] == 0 for k in range(200)) and all(got[k] == 1000 for k in range(1000, 1061))
+    for few in (0, 1000):
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+        assert all(got[k] == 0 for k in range(200)) and all(got[k] == 1000 for k in range(1000, 1061)) and len(got) == 261
 
 
 def test_pipeline_stages(spark):
