@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import saved
+
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
@@ -101,9 +103,10 @@ def nearest(points: DataFrame, targets: DataFrame, size: float) -> DataFrame:
     """Adds the target_id nearest to each point, ties the smallest.
 
     Cells around a point are searched ring by ring, twice as wide each time, for the points that have no sure answer
-    yet; a hit is sure when it is no farther than the searched ring reaches.
+    yet; a hit is sure when it is no farther than the searched ring reaches.  Each round's answers, and the points that
+    it leaves, are saved, so that no round is computed again.  Points without an id or a place have no target.
     """
-    todo, answers, reach = points.select("point_id", "x", "y"), None, 1
+    todo, answers, reach = points.select("point_id", "x", "y").dropna(), None, 1
     spread = targets.agg(F.max("tx") - F.min("tx"), F.max("ty") - F.min("ty"), F.min("tx"), F.min("ty")).first()
     if spread[0] is None:
         return points.withColumn("target_id", F.lit(None).cast(targets.schema["target_id"].dataType))
@@ -119,11 +122,13 @@ def nearest(points: DataFrame, targets: DataFrame, size: float) -> DataFrame:
         distance = F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)
         best = around.join(placed, ["_cx", "_cy"]).groupBy("point_id").agg(F.min(F.struct(distance.alias("d"), F.col("target_id").alias("t"))).alias("hit"))
         sure = best if last else best.where(F.col("hit.d") <= cell * cell)
-        found = sure.select("point_id", F.col("hit.t").alias("target_id"))
+        found = saved(sure.select("point_id", F.col("hit.t").alias("target_id")))
         answers = found if answers is None else answers.unionByName(found)
         if last:
             return points.join(answers, "point_id", "left")
-        todo = todo.join(sure.select("point_id"), "point_id", "left_anti")
+        todo = saved(todo.join(found, "point_id", "left_anti"))
+        if todo.isEmpty():
+            return points.join(answers, "point_id", "left")
         reach *= 8
 
 

@@ -1,5 +1,7 @@
 """Ties, nulls, order and idempotence of the operators on small frames."""
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -85,6 +87,19 @@ def test_spatial(spark):
     assert {r.point_id: r.target_id for r in spatial.nearest(far, targets, 0.5).collect()} == {1: 7, 2: 7, 3: 7, 4: 9, 5: 8}  # 3 has two as near: the smaller
 
 
+def test_nearest_is_the_least_distance(spark):
+    rng = random.Random(5)
+    place = lambda reach: (rng.randint(-reach, reach) / 4, rng.randint(-reach, reach) / 4)
+    targets = [(k, *place(40)) for k in range(60)] + [(100, 900.0, 900.0), (101, None, 1.0)]
+    points = [(k, *place(60)) for k in range(150)] + [(200 + k, *place(8000)) for k in range(20)] + [(300, None, 2.0), (None, 1.0, 1.0)]
+    found = spatial.nearest(
+        spark.createDataFrame(points, "point_id int, x double, y double"), spark.createDataFrame(targets, "target_id int, tx double, ty double"), 0.3
+    ).collect()
+    placed = [t for t in targets if t[1] is not None]
+    least = {p: min(((x - tx) ** 2 + (y - ty) ** 2, t) for t, tx, ty in placed)[1] if p is not None and x is not None else None for p, x, y in points}
+    assert len(found) == len(points) and {r.point_id: r.target_id for r in found} == least
+
+
 def test_masked_assignment_sees_the_input(spark):
     df = spark.createDataFrame([(1, 2), (None, 3)], "a int, b int")
     assert [tuple(r) for r in ownership.assign_where(df, F.col("a") == 1, a=F.col("b"), b=F.col("a")).collect()] == [(2, 1), (None, 3)]
