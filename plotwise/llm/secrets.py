@@ -96,31 +96,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as disjoint spans, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def entropy_spans(text: str, base: list[tuple[str, int, int]], classes=CLASSES, allowed=_ALLOWED) -> list[tuple[str, int, int]]:
     """Spans that the windows add: their parts outside the base spans, unless on the allow-list."""
-    taken = sorted((s, e) for _, s, e in base)
-    out = []
+    taken = _joined([(s, e) for _, s, e in base])
+    out, first = [], 0
     for m in _CANDIDATE.finditer(text):
         word = m.group()
         if any(p.fullmatch(word) for p in allowed):
             continue
-        spans = sorted(x for _, *rule in classes for x in dense_windows(word, *rule))
-        merged: list[list[int]] = []
-        for s, e in spans:
-            if merged and s <= merged[-1][1]:
-                merged[-1][1] = max(e, merged[-1][1])
-            else:
-                merged.append([s, e])
-        for s, e in merged:
+        for s, e in _joined([x for _, *rule in classes for x in dense_windows(word, *rule)]):
             found = word[s:e]
             if EXAMPLE.search(found) or any(p.fullmatch(found) for p in allowed):
                 continue
             at, end = s + m.start(), e + m.start()
-            for x, y in taken:
-                if y > at and x < end:
-                    if x > at:
-                        out.append(("entropy", at, x))
-                    at = y
+            while first < len(taken) and taken[first][1] <= at:
+                first += 1
+            while first < len(taken) and taken[first][0] < end:
+                if taken[first][0] > at:
+                    out.append(("entropy", at, taken[first][0]))
+                at = taken[first][1]
+                if at >= end:  # may reach into the next span
+                    break
+                first += 1
             if at < end:
                 out.append(("entropy", at, end))
     return out

@@ -1,6 +1,7 @@
 """The operators against brute force, with nulls, empty and repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -146,6 +147,49 @@ def test_secrets():
     assert secrets.scan("123e4567-e89b-12d3-a456-426614174000 Donaudampfschifffahrtsgesellschaft EXAMPLE" + key) == []
 
 
+def brute_entropy(text):
+    """What the windows mark, each window counted anew, less the places of base spans."""
+    marks, base = bytearray(len(text)), [x for x in secrets.scan(text) if x[0] != "entropy"]
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        word, own = m[0], bytearray(len(m[0]))
+        if any(re.fullmatch(p, word) for p in secrets.ALLOWED):
+            continue
+        for _, members, n, bits, digits, upper, lower in secrets.CLASSES:
+            for k in range(len(word) - n + 1):
+                w = word[k : k + n]
+                parts = [w.count(c) / n for c in set(w)]
+                kinds = sum(c.isdigit() for c in w), sum(c.isupper() for c in w), sum(c.islower() or c in "+/_=-" for c in w)
+                if set(w) <= members and -sum(p * math.log2(p) for p in parts) >= bits and all(a >= b for a, b in zip(kinds, (digits, upper, lower))):
+                    own[k : k + n] = b"\1" * n
+        for x in re.finditer(b"\1+", bytes(own)):
+            span = word[x.start() : x.end()]
+            if not re.search("(?i)example", span) and not any(re.fullmatch(p, span) for p in secrets.ALLOWED):
+                marks[m.start() + x.start() : m.start() + x.end()] = b"\1" * len(span)
+    for _, start, end in base:
+        marks[start:end] = bytes(end - start)
+    return [("entropy", *x.span()) for x in re.finditer(b"\1+", bytes(marks))]
+
+
+def test_secret_query(spark, tmp_path):
+    rng, small, digits = random.Random(9), "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    texts = [None, "", "no secrets here", "token=" + "a1B2c3D4e5F6g7H8i9J0k" * 2000]
+    for _ in range(300):
+        keys = ["".join(rng.choice(a) for _ in range(rng.randint(4, 45))) for a in (digits + "abcdef", small + small.upper() + digits + "+/", small.upper() + "234567", small)]
+        texts.append(" ".join(rng.choice(("token=", "secret: ", "", "AKIA", "example")) + key + rng.choice(("", "/", " x")) for key in rng.sample(keys, rng.randint(1, 4))))
+    rows = [(k, t, "clash") for k, t in enumerate(texts)] + [(5, texts[5], "again")]
+    spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = []
+    for k, text, _ in rows:
+        base, found = brute_base(text or ""), brute_entropy(text or "")
+        join = lambda kept: ",".join(f"{a}:{b}:{c}" for a, b, c in kept)
+        counts = [sum(x[0] == kind for x in base) for kind in ("assign", "access", "hex")]
+        spans = sorted(base + found, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+        wanted.append((k, *counts, hashlib.sha256(join(base).encode()).hexdigest(), join(spans)))
+    columns = "doc_id n_assign n_access n_hex base_sha256 spans".split()
+    assert sum("entropy" in w[-1] for w in wanted) > 50
+    assert sorted(tuple(r[c] for c in columns) for r in secrets.op4_secret_scan(spark, str(tmp_path)).collect()) == sorted(wanted)
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there\nSecond line"), (1, 1, "user", "On Monday A wrote:\n> hello   THERE\n> Second line\n\nFine"), (1, 2, "user", "> > Hello there\n> Fine\nok"), (2, 0, "user", "> Second line\nfrom afar"), (2, 1, "user", None), (3, 0, "user", "> nobody said this\nx"), (1, 3, "user", "no quote")]
     df = spark.createDataFrame(rows + [rows[-1]], "conv_id long, turn long, role string, text string").withColumns({"hash": F.lit(1), "body": F.lit(2), "thread": F.lit(3)})
