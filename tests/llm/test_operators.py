@@ -215,6 +215,20 @@ def test_bpe_is_tiktoken(texts):
         assert own.digest(text) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_bpe_query(spark, folder, texts):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    wanted = []
+    for k, text in [*texts, texts[2]]:  # the table repeats the row of document 2
+        ids = theirs.encode_ordinary(text or "")
+        wanted.append((k, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    columns = "doc_id n_tokens ids_sha256 decoded_sha256".split()
+    assert sorted(tuple(r[c] for c in columns) for r in bpe.op7_byte_bpe(spark, folder).collect()) == sorted(wanted)
+
+
 def test_utf8_stream_in_any_portions():
     data = "aé漢🙂".encode() + b"\xff\xe2\x82" + "z".encode() + b"\xf0\x9f"
     for cut in range(1, 5):
