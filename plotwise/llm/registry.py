@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licences, quality, quotes, repeats, secrets, simhash, url_rules, vectors
+from . import bpe, decontaminate, licences, merkle, quality, quotes, repeats, secrets, simhash, spelling, toxicity, url_rules, vectors
 
 QUERIES = {
     "op1_near_vectors": vectors.op1_near_vectors,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_licences": licences.op8_licences,
     "op9_simhash": simhash.op9_simhash,
     "op10_repeated_bytes": repeats.op10_repeated_bytes,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {"op1_near_vectors": vectors.ORACLE}
