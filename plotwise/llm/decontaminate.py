@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import cut, portions, table
 
@@ -238,8 +239,7 @@ def _found(docs: DataFrame, items: list[tuple[int, str | None]], text: str, name
                 held = [index.holds(t) for t in part.column(text).to_pylist()]
                 yield part.append_column(name, pa.array(held, pa.list_(pa.int64())))
 
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*names, f"`{name}` array<bigint>"]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(LongType()))]))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, name: str = "items") -> DataFrame:

@@ -17,7 +17,9 @@ sorted names are read as a stream, so that no unbounded group is held in memory.
 time); long ones are 64 bits besides the short name's 64, and names of whole strings 128 bits.
 
 Defined cases: null and empty texts, and those shorter than ``SIZE`` bytes, lose nothing; matches never cross
-documents; repeated rows of one doc_id are one place, and each gets its row; other columns are ignored.
+documents; a null doc_id comes before all others; rows of one doc_id (or without any) with different texts are documents
+of their own, ordered by the MD5 digests of their texts; rows equal in both are one document, and each gets its row;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, portions, table
+from plotwise.operators.ranks import numbered
+
+from .common import cut, portions, table, written
 from .components import apart
 
 SIZE, GRAM, HOT = 100, 36, 1024
@@ -334,10 +338,22 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def with_places(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc): ``doc`` orders documents by doc_id, and those of one doc_id by the digest of their text.
+
+    It is the doc_id itself where each has one text, which is looked up first; else it is counted over sorted ranges.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = written(docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")).distinct())
+    if names.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where((F.col("texts") > 1) | F.col("doc_id").isNull()).isEmpty():
+        return docs.withColumn("doc", F.col("doc_id"))
+    places = written(numbered(names, [F.col("doc_id").asc_nulls_first(), F.col("digest")], "doc"))
+    own = docs.withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return own.join(places, own["doc_id"].eqNullSafe(places["doc_id"]) & (own["digest"] == places["digest"])).select(own["doc_id"], "text", "doc")
+
+
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(-(1 << 63))
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("doc_id", none).alias("doc"), "text")
-    spans = repeated(docs).groupBy("doc").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+    docs = with_places(table(spark, sf_dir, "documents"))
+    spans = repeated(docs.select("doc", "text")).groupBy("doc").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
     joined = docs.join(spans, "doc", "left")  # the texts are dealt out once, for the edges and again here
-    rows = joined.select(F.nullif("doc", none).alias("doc_id"), "text", "first", "last")
-    return rows.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "first", "last").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -298,6 +298,35 @@ def test_repeats(spark, folder, texts, hot, monkeypatch):
         assert got[i] == (len(data), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(data, gone) if not g)).hexdigest())
 
 
+def repeats_of(rows):
+    """(doc_id, n_bytes, n_removed, n_spans, kept) of each row, by all strings of 100 bytes in order of documents."""
+    order = sorted({(i is not None, i or 0, hashlib.md5((t or "").encode()).hexdigest(), t or "") for i, t in rows})
+    seen, found = set(), {}
+    for named, i, _, text in order:
+        data = text.encode()
+        gone = np.zeros(len(data), bool)
+        for k in range(len(data) - 99):
+            if data[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(data[k : k + 100])
+        runs = int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum())
+        found[(i if named else None, text)] = (len(data), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest())
+    return sorted(((i, *found[(i, t or "")]) for i, t in rows), key=str)
+
+
+def test_repeats_of_shared_ids(spark, tmp_path):
+    """Null ids, an id of several texts, equal rows, and a text longer than a slice."""
+    rng = random.Random(13)
+    x, w, y = (bytes(rng.choices(range(97, 123), k=300)).decode() for _ in range(3))
+    lead, lead2, tail = (bytes(rng.choices(range(97, 123), k=n)).decode() for n in (30, 30, 50))
+    long = bytes(rng.choices(range(97, 123), k=repeats.SLICE + 5_000)).decode()
+    rows = [(None, lead + x), (None, x + w), (None, y), (7, lead2 + x), (7, y + w + tail), (7, y + w + tail), (9, None), (9, ""), (3, long), (4, long[repeats.SLICE - 200 : repeats.SLICE + 300]), (5, x[:99])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, repeats.op10_repeated_bytes(spark, str(tmp_path)).collect()), key=str) == repeats_of(rows)
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in repeats.op10_repeated_bytes(spark, str(tmp_path)).collect()}
+    assert got[(None, 300)] in (0, 300) and got[(7, 330)] in (0, 300)
+
+
 def test_components_star_and_path(spark):
     edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (7, 0)]
     for few in (0, 1000):

@@ -31,6 +31,19 @@ def test_near_dedup_with_null_ids(spark):
     assert kept(spark, "near_dedup", rows) == sorted([(1, a), (None, b), (2, c), (4, ""), (3, "x"), (3, "y")], key=str)
 
 
+@pytest.mark.parametrize("name", ["classify", "near_dedup", "remove_leaks", "mask_secrets"])
+def test_columns_of_any_type_and_name(spark, name):
+    """Columns that cannot be ordered, and names that need quoting, come out as they went in."""
+    rows = [(1, "one two three four five six"), (None, "one two three four five six"), (None, "seven eight nine ten eleven"), (None, "seven eight nine ten eleven"), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    docs = docs.withColumns({"a.b": F.create_map(F.lit("k"), F.col("doc_id")), "v`w": F.array(F.create_map(F.lit(1), F.col("text"))), "x y": F.struct(F.lit(1).alias("p.q")), "Mark": F.lit(7)})
+    out = STAGE[name](spark, docs, "/root/testdata/sf0.001")
+    assert out.dtypes == docs.dtypes
+    got = sorted(((r[0], r[1]) for r in out.collect()), key=str)
+    assert got == sorted(rows if name != "near_dedup" else [rows[0], rows[2], rows[4]], key=str)
+    assert all(r["a.b"] == {"k": r[0]} and r[6] == [{1: r[1]}] for r in out.collect())
+
+
 def test_secrets_are_masked(spark):
     rows = [(1, f"use {KEY} now"), (1, f"use {KEY} now"), (None, "password: hunter22 x"), (2, None), (3, ""), (4, "nothing here")]
     assert kept(spark, "mask_secrets", rows) == sorted(((i, secrets.redact(t)) for i, t in rows), key=str)
