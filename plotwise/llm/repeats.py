@@ -327,7 +327,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
     for batch in (part for whole in batches for part in portions(whole)):
         rows = []
-        for doc, text, first, last in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "first", "last"))):
+        for doc, text, first, last in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "first", "last"))):
             data = (text or "").encode("utf-8", "replace")
             spans = removed_spans(len(data), list(zip(first or (), last or ())))
             digest, at = hashlib.sha256(), 0
@@ -335,25 +335,31 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest.update(data[at:a])
                 at = b
             rows.append((doc, len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def with_places(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, doc): ``doc`` orders documents by doc_id, and those of one doc_id by the digest of their text.
+def with_places(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text), where ``doc`` orders documents by doc_id, and those of one doc_id by the digest of their text; and (doc, doc_id).
 
-    It is the doc_id itself where each has one text, which is looked up first; else it is counted over sorted ranges.
+    ``doc`` is the doc_id itself, without a second table, where each has one text, which is looked up first; else it is
+    counted over sorted ranges.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = written(docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")).distinct())
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")
+    names = written(docs.select("doc_id", digest).distinct())
     if names.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where((F.col("texts") > 1) | F.col("doc_id").isNull()).isEmpty():
-        return docs.withColumn("doc", F.col("doc_id"))
+        return docs.withColumnRenamed("doc_id", "doc"), None
     places = written(numbered(names, [F.col("doc_id").asc_nulls_first(), F.col("digest")], "doc"))
-    own = docs.withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return own.join(places, own["doc_id"].eqNullSafe(places["doc_id"]) & (own["digest"] == places["digest"])).select(own["doc_id"], "text", "doc")
+    own = docs.withColumn("digest", digest)
+    own = own.join(places, own["doc_id"].eqNullSafe(places["doc_id"]) & (own["digest"] == places["digest"]))
+    return own.select("doc", "text"), places.select("doc", "doc_id")
 
 
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_places(table(spark, sf_dir, "documents"))
-    spans = repeated(docs.select("doc", "text")).groupBy("doc").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+    docs, ids = with_places(table(spark, sf_dir, "documents"))
+    spans = repeated(docs).groupBy("doc").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
     joined = docs.join(spans, "doc", "left")  # the texts are dealt out once, for the edges and again here
-    return joined.select("doc_id", "text", "first", "last").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = joined.mapInArrow(_kept, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    if ids is None:
+        return found.withColumnRenamed("doc", "doc_id")
+    return found.join(ids, "doc").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
