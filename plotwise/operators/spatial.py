@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import saved
 
@@ -99,37 +100,84 @@ def intersecting(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     return pairs.where(meet).select("polygon_id").distinct()
 
 
+RINGS_FIRST = (1, 8)  # cells are so many times as wide in the two rounds before the quad cells
+QUAD, DEEPEST = 64, 40  # targets of a quad cell that is not split further; levels
+
+
+def _quad_levels(targets: DataFrame, limit: int) -> tuple[list[DataFrame], DataFrame]:
+    """Levels of quad cells that hold targets, and the targets with the undivided cell they are in.
+
+    A cell has its bounds, one of its targets, and the cell above it; it is split where it has more than ``limit`` targets.
+    Of targets in one place the least stands for all, so that any crowd is split.  Each level is saved.
+    """
+    going = saved(targets.where("tx is not null and ty is not null and target_id is not null").groupBy("tx", "ty").agg(F.min("target_id").alias("target_id")))
+    x0, y0, wide = going.agg(F.min("tx"), F.min("ty"), F.greatest(F.max("tx") - F.min("tx"), F.max("ty") - F.min("ty"))).first()
+    levels, homes = [], None
+    for level in range(DEEPEST + 1):
+        cell = lambda c, low: F.least(F.floor((F.col(c) - low) / (wide or 1.0) * (1 << level)), F.lit((1 << level) - 1)).cast("bigint")  # noqa: B023, E731
+        placed = going.withColumns({"qx": cell("tx", x0), "qy": cell("ty", y0)})
+        cells = placed.groupBy("qx", "qy").agg(
+            F.count(F.lit(1)).alias("n"), F.min("tx").alias("x1"), F.max("tx").alias("x2"), F.min("ty").alias("y1"), F.max("ty").alias("y2"), F.min(F.struct("target_id", "tx", "ty")).alias("one")
+        )
+        split = (F.col("n") > limit) & F.lit(level < DEEPEST)
+        cells = saved(cells.withColumns({"split": split, "px": F.shiftright("qx", 1), "py": F.shiftright("qy", 1)}))
+        levels.append(cells)
+        told = saved(placed.join(cells.select("qx", "qy", "split"), ["qx", "qy"]))
+        home = told.where("not split").select(F.lit(level).alias("level"), "qx", "qy", "target_id", "tx", "ty")
+        homes = home if homes is None else homes.unionByName(home)
+        going = told.where("split").select("target_id", "tx", "ty")
+        if going.isEmpty():
+            return levels, homes
+    return levels, homes
+
+
+def descended(points: DataFrame, targets: DataFrame, limit: int = QUAD) -> DataFrame:
+    """(point_id, target_id): the nearest target of each point, ties the smallest, by going down quad cells.
+
+    Each cell tells of one target, so that a point knows a distance that suffices, and leaves cells that are farther.
+    However the targets crowd, a point meets those of few cells.
+    """
+    levels, homes = _quad_levels(targets, limit)
+    zero = F.lit(0).cast("bigint")
+    asking = points.select("point_id", "x", "y", F.lit(float("inf")).alias("enough"), zero.alias("px"), zero.alias("py"))
+    square = lambda x, y: F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2)
+    beyond = lambda c, low, high: F.greatest(F.col(low) - F.col(c), F.lit(0.0), F.col(c) - F.col(high))
+    own, ends = Window.partitionBy("point_id"), None  # the few cells of a point
+    for level, cells in enumerate(levels):
+        met = asking.join(cells, ["px", "py"]).withColumn("far", F.pow(beyond("x", "x1", "x2"), 2) + F.pow(beyond("y", "y1", "y2"), 2)).where("far <= enough")
+        met = met.withColumn("enough", F.least("enough", F.min(square(F.col("one.tx"), F.col("one.ty"))).over(own))).where("far <= enough")
+        met = saved(met.select("point_id", "x", "y", "enough", "split", "qx", "qy"))
+        end = met.where("not split").select("point_id", "x", "y", F.lit(level).alias("level"), "qx", "qy")
+        ends = end if ends is None else ends.unionByName(end)
+        asking = met.where("split").select("point_id", "x", "y", "enough", F.col("qx").alias("px"), F.col("qy").alias("py"))
+    best = F.min(F.struct(square(F.col("tx"), F.col("ty")).alias("d"), F.col("target_id").alias("t")))
+    return ends.join(homes, ["level", "qx", "qy"]).groupBy("point_id").agg(best.alias("hit")).select("point_id", F.col("hit.t").alias("target_id"))
+
+
 def nearest(points: DataFrame, targets: DataFrame, size: float) -> DataFrame:
     """Adds the target_id nearest to each point, ties the smallest.
 
-    Cells around a point are searched ring by ring, twice as wide each time, for the points that have no sure answer
-    yet; a hit is sure when it is no farther than the searched ring reaches.  Each round's answers, and the points that
-    it leaves, are saved, so that no round is computed again.  Points without an id or a place have no target.
+    Cells around a point are searched, and then wider ones, for points with an answer near by; a hit is sure when it is no
+    farther than the searched ring reaches.  The other points go down quad cells.  Each round's answers, and the points
+    that it leaves, are saved, so that no round is computed again.  Points without an id or a place have no target.
     """
-    todo, answers, reach = points.select("point_id", "x", "y").dropna(), None, 1
-    spread = targets.agg(F.max("tx") - F.min("tx"), F.max("ty") - F.min("ty"), F.min("tx"), F.min("ty")).first()
-    if spread[0] is None:
+    todo, answers = points.select("point_id", "x", "y").dropna(), None
+    targets = targets.select("target_id", "tx", "ty").dropna()
+    if targets.isEmpty():
         return points.withColumn("target_id", F.lit(None).cast(targets.schema["target_id"].dataType))
-    far = points.agg(F.max(F.greatest(F.abs(F.col("x") - spread[2]), F.abs(F.col("y") - spread[3])))).first()[0] or 0.0
-    widest = max(spread[0], spread[1], far) * 2 + size
-    placed = None
-    while True:
+    for reach in RINGS_FIRST:
         cell = size * reach
-        last = cell >= widest
         placed = targets.withColumns({"_cx": F.floor(F.col("tx") / cell), "_cy": F.floor(F.col("ty") / cell)})
         around = todo.withColumn("_dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
         around = around.withColumns({"_cx": F.floor(F.col("x") / cell) + F.col("_dx"), "_cy": F.floor(F.col("y") / cell) + F.col("_dy")})
         distance = F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)
         best = around.join(placed, ["_cx", "_cy"]).groupBy("point_id").agg(F.min(F.struct(distance.alias("d"), F.col("target_id").alias("t"))).alias("hit"))
-        sure = best if last else best.where(F.col("hit.d") <= cell * cell)
-        found = saved(sure.select("point_id", F.col("hit.t").alias("target_id")))
+        found = saved(best.where(F.col("hit.d") <= cell * cell).select("point_id", F.col("hit.t").alias("target_id")))
         answers = found if answers is None else answers.unionByName(found)
-        if last:
-            return points.join(answers, "point_id", "left")
         todo = saved(todo.join(found, "point_id", "left_anti"))
         if todo.isEmpty():
             return points.join(answers, "point_id", "left")
-        reach *= 8
+    return points.join(answers.unionByName(descended(todo, targets)), "point_id", "left")
 
 
 def centroid(ring: Column) -> tuple[Column, Column]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from plotwise.plans import aggregates, civic, joins, records, texts
+from plotwise.plans import aggregates, civic, joins, records, texts, whole
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (aggregates, joins, civic, records, texts):
+for _module in (aggregates, joins, civic, records, texts, whole):
     QUERIES |= _module.q.queries
     ORACLE_SQL |= _module.q.sql

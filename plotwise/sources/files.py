@@ -24,6 +24,29 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None =
     return raw.select(*(F.col(f"`{n}`").try_cast(kinds[n]).alias(n) if n in kinds and kinds[n] != T.StringType() else F.col(f"`{n}`") for n in names))
 
 
+_WHOLE, _NUMBER, _TRUTH = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", r"^(?i:true|false)$"
+
+
+def inferred_kinds(raw: DataFrame) -> dict[str, T.DataType]:
+    """The narrowest type of each text column that all its values have, by one aggregate over all rows and columns.
+
+    Whole numbers of 64 bits, else numbers, or truth values, else texts; a column without values is text.
+    """
+    tests = []
+    for k, c in enumerate(raw.columns):
+        v = F.col(f"`{c}`")
+        tests += [F.bool_and(F.when(v.isNotNull(), v.rlike(_WHOLE) & v.try_cast("bigint").isNotNull())).alias(f"w{k}"), F.bool_and(v.rlike(_NUMBER)).alias(f"n{k}"), F.bool_and(v.rlike(_TRUTH)).alias(f"t{k}")]
+    told = raw.agg(*tests).first()
+    kinds = (("w", T.LongType()), ("n", T.DoubleType()), ("t", T.BooleanType()))
+    return {c: next((kind for letter, kind in kinds if told[f"{letter}{k}"]), T.StringType()) for k, c in enumerate(raw.columns)}
+
+
+def read_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """A delimited file, or a folder of them, with types inferred from all rows: it is read once for the types, once for the rows."""
+    kinds = inferred_kinds(read_delimited(spark, path))
+    return read_delimited(spark, path, T.StructType([T.StructField(c, kind) for c, kind in kinds.items()]))
+
+
 def normalised_names(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.lstrip("﻿").strip().lower().replace(" ", "_") for c in df.columns))
 

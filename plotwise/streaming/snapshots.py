@@ -27,26 +27,74 @@ def merge(stored: DataFrame, incoming: DataFrame, keys: list[str], order: str, a
     return out.select(*keys, "row.*", "first_seen", "last_seen", order)
 
 
-def stream_into(source: DataFrame, table: str, checkpoint: str, keys: list[str], seen: str, order: str, attributes: list[str]):
-    """Starts a stream that keeps ``table`` (a folder with a version for each batch) folded; returns the query.
+BUCKETS = 64
 
-    A batch that is run again replaces its own version, so that nothing counts twice.
+
+class Folded:
+    """A folded table in a folder, bucketed by key; a batch writes anew only the buckets that it has keys of.
+
+    ``data/v=<batch>/b=<bucket>`` holds what a batch wrote, ``state/<batch>`` which version of each bucket counts after it.
+    The state is written last, so that a batch that fails changes nothing, and one that is run again replaces its own
+    version.  Versions that the state before a batch does not name are removed with it.
     """
 
+    def __init__(self, spark: SparkSession, table: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.table, self.buckets = spark, table, buckets
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        self.files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.table}/{name}")
+
+    def batches(self) -> list[int]:
+        """Numbers of the batches whose state is kept."""
+        if not self.files.exists(self._path("state")):
+            return []
+        names = [f.getPath().getName() for f in self.files.listStatus(self._path("state"))]
+        return sorted(int(n) for n in names if n.isdigit() and self.files.exists(self._path(f"state/{n}/_SUCCESS")))
+
+    def state(self, batch: int) -> dict[int, int]:
+        """Bucket to version; at most a row a bucket."""
+        return {r.b: r.v for r in self.spark.read.parquet(f"{self.table}/state/{batch}").collect()}
+
+    def read(self, versions: dict[int, int], schema=None) -> DataFrame:
+        paths = [f"{self.table}/data/v={v}/b={b}" for b, v in sorted(versions.items())]
+        return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def latest(self) -> DataFrame:
+        return self.read(self.state(self.batches()[-1]))
+
+    def add(self, new: DataFrame, number: int, keys: list[str], order: str, attributes: list[str]) -> None:
+        """Merges a folded batch."""
+        before = [n for n in self.batches() if n < number]
+        held = self.state(before[-1]) if before else {}
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+        new = new.withColumn("b", bucket).persist()
+        touched = [r.b for r in new.select("b").distinct().collect()]  # at most a row a bucket
+        stored = self.read({b: held[b] for b in touched if b in held}, new.drop("b").schema)
+        out = merge(stored, new.drop("b"), keys, order, attributes).withColumn("b", bucket)
+        out.repartition(max(1, len(touched)), "b").write.mode("overwrite").partitionBy("b").parquet(f"{self.table}/data/v={number}")
+        new.unpersist()
+        now = held | {b: number for b in touched}
+        self.spark.createDataFrame(list(now.items()), "b int, v int").coalesce(1).write.mode("overwrite").parquet(f"{self.table}/state/{number}")
+        if len(before) > 1:
+            for b, v in self.state(before[-2]).items():
+                if held.get(b) != v and self.files.exists(self._path(f"data/v={v}/b={b}")):
+                    self.files.delete(self._path(f"data/v={v}/b={b}"), True)
+            self.files.delete(self._path(f"state/{before[-2]}"), True)
+
+
+def stream_into(source: DataFrame, table: str, checkpoint: str, keys: list[str], seen: str, order: str, attributes: list[str], buckets: int = BUCKETS):
+    """Starts a stream that keeps ``table`` folded; returns the query.  What a batch writes grows with the buckets it touches."""
+
     def into(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = fold(batch, keys, seen, order, attributes)
-        if number > 0:
-            new = merge(spark.read.parquet(f"{table}/v={number - 1}"), new, keys, order, attributes)
-        new.write.mode("overwrite").parquet(f"{table}/v={number}")
+        Folded(batch.sparkSession, table, buckets).add(fold(batch, keys, seen, order, attributes), number, keys, order, attributes)
 
     return source.writeStream.foreachBatch(into).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_version(spark: SparkSession, table: str) -> DataFrame:
-    versions = spark.read.parquet(table)
-    newest = versions.agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{table}/v={newest}")
+    return Folded(spark, table).latest()
 
 
 def read_snapshots(spark: SparkSession, folder: str, schema: str, city: str | None = None) -> DataFrame:
