@@ -29,7 +29,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("least")).select("node", F.least("node", "least").alias("component"))
     labels, mark = saved(labels), None
     while True:
-        told = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("component").alias("heard"))
+        # A label is never above its node, so that this is the node, but dealt out anew: a hub's edges can then be split.
+        spread = labels.select(F.greatest("node", "component").alias("node"), "component")
+        told = both.join(spread, both.y == spread.node).groupBy("x").agg(F.min("component").alias("heard"))
         near = labels.join(told, labels.node == told.x).select("node", F.least("component", "heard").alias("component"))
         further = near.select(F.col("node").alias("component"), F.col("component").alias("jump"))
         labels = saved(near.join(further, "component", "left").select("node", F.coalesce(F.least("component", "jump"), "component").alias("component")))
@@ -39,6 +41,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = now
 
 
+def updated(labels: DataFrame, edges: DataFrame, changed: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The components of ``edges``, from the labels of the edges before and those of them that were added or retracted.
+
+    Only components that a changed edge touches are computed again.  A node without an edge has no component.
+    """
+    ends = changed.select(F.explode(F.array(a, b)).alias("node")).where("node is not null").distinct()
+    touched = labels.join(ends, "node").select("component").distinct()
+    nodes = saved(labels.join(touched, "component", "left_semi").select("node").union(ends).distinct())
+    again = edges.join(nodes.withColumnRenamed("node", a), a, "left_semi").select(a, b).union(edges.join(nodes.withColumnRenamed("node", b), b, "left_semi").select(a, b))
+    return saved(labels.join(nodes, "node", "left_anti").select("node", "component").union(components(again, a, b)))
+
+
 def shown_names(labels: DataFrame, sep: str = " / ") -> DataFrame:
     """Per component: its nodes in order, as one text."""
     return labels.groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("node")), sep).alias("display"))

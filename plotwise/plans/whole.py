@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from plotwise.operators import blocks, contract, keys, spatial
+from plotwise.operators import artifacts, blocks, contract, graph, keys, portfolios, simplify, spatial
 from plotwise.operators.graph import ready
-from plotwise.sources import files
+from plotwise.sources import files, sinks
 
 from .base import Registry, t
+from .joins import _LABELS, _edges
 
 q = Registry()
 
@@ -111,3 +112,123 @@ def q_blocks(s, d):
     named = t(s, d, "supplier").select(n.alias("point_id"), F.col("s_acctbal").alias("x"), ((n * 37) % 4400).cast("double").alias("y"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("area"))
     out = blocks.with_areas(blocks.counted(boxes, houses, 250.0), named, 250.0)
     return out.select(F.col("polygon_id").alias("block_id"), "buildings", "total_units", "median_year", F.array_join(F.transform("building_ids", lambda x: x.cast("string")), ",").alias("building_ids"), "area")
+
+
+@q("""SELECT p_partkey AS polygon_id, 4 AS corners, 250.0 * 90 AS area FROM part""")
+def q_simplified(s, d):
+    """A map of boxes with vertices every few units along shared borders; the corners are left, and the areas stay."""
+    x0, y0 = (F.col("p_partkey") % 40) * 250.0, F.floor(F.col("p_partkey") / 40) * 90.0
+    steps = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    ring = F.concat(
+        F.transform(steps(10), lambda k: corner(x0 + 25 * k, y0)), F.transform(steps(6), lambda k: corner(x0 + 250, y0 + 15 * k)),
+        F.transform(steps(10), lambda k: corner(x0 + 250 - 25 * k, y0 + 90)), F.transform(steps(6), lambda k: corner(x0, y0 + 90 - 15 * k)),
+    )
+    boxes = t(s, d, "part").select(F.col("p_partkey").alias("polygon_id"), F.array(ring).cast(spatial.RINGS).alias("rings"))
+    out = simplify.simplified_map(boxes, 0.5)
+    edges = spatial.edges_of(F.col("rings"))
+    area = F.abs(F.aggregate(edges, F.lit(0.0), lambda a, e: a + e["x1"] * e["y2"] - e["x2"] * e["y1"])) / 2
+    return out.select("polygon_id", F.size(F.get("rings", F.lit(0))).alias("corners"), area.alias("area"))
+
+
+@q("""SELECT * FROM (
+  SELECT 'marker' AS kind, c_custkey AS id, CAST(round(c_acctbal / 100, 6) AS DOUBLE) AS x, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS name, CAST(trunc(c_acctbal) AS BIGINT) AS n FROM customer
+  UNION ALL SELECT 'block', p_partkey, CAST((p_partkey % 40) * 2 + 2 AS DOUBLE), p_brand, p_size FROM part
+  UNION ALL SELECT 'record', s_suppkey, s_acctbal, s_name, s_nationkey FROM supplier
+  UNION ALL SELECT 'network', n_nationkey, CAST(NULL AS DOUBLE), n_name, n_regionkey FROM nation
+  UNION ALL SELECT 'overlay', r_regionkey, r_regionkey + 1.0, r_name, NULL FROM region
+  UNION ALL SELECT 'config', (SELECT count(*) FROM customer), NULL, 'totals', 6)""")
+def q_artifacts(s, d):
+    """The set of public files, written as single documents by many tasks, and read again."""
+    folder = _folder(s, "artifacts")
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    box = lambda x, y, w: F.array(F.array(corner(x, y), corner(x + w, y), corner(x + w, y + w), corner(x, y + w))).cast(spatial.RINGS).alias("rings")
+    c, p = t(s, d, "customer"), t(s, d, "part")
+    nothing = F.lit(None).cast("string")
+    markers = c.select(
+        F.col("c_custkey").alias("b_id"), (F.col("c_acctbal") / 100).alias("lat"), F.lit(-123.1234567).alias("lon"), F.when(F.col("c_mktsegment") == "BUILDING", "unknown").otherwise(F.col("c_mktsegment")).alias("owner_key"),
+        nothing.alias("network_key"), F.col("c_acctbal").alias("units"), F.lit(1965.0).alias("year_built"), F.lit(" ").alias("local_area"), nothing.alias("housing_type"), F.lit(0).alias("n_issues"), nothing.alias("source"),
+    )
+    blocks_ = p.select(F.col("p_partkey").alias("polygon_id"), box((F.col("p_partkey") % 40) * 2, F.floor(F.col("p_partkey") / 40) * 2, 2), F.col("p_brand").alias("local_area"), F.col("p_size").alias("buildings"))
+    overlays = t(s, d, "region").select(F.col("r_regionkey").alias("polygon_id"), box(F.col("r_regionkey"), F.lit(0), 1), F.col("r_name").alias("name"))
+    records = t(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("value"), F.col("s_nationkey").alias("units"), F.lit(None).cast("string").alias("note"))
+    networks = t(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("tier"))
+    artifacts.export(folder, markers=markers, blocks=blocks_, overlays=overlays, records=records, networks=networks, config={"dataset_totals": {"buildings": c.count()}})
+    read = lambda name, schema: s.read.schema(schema).json(f"{folder}/{name}", multiLine=True)
+    row = lambda kind, id_, x, name, n: [F.lit(kind).alias("kind"), id_.cast("bigint").alias("id"), x.cast("double").alias("x"), name.alias("name"), n.cast("bigint").alias("n")]
+    none, col = F.lit(None), F.col
+    shape = "features array<struct<geometry:struct<coordinates:array<array<array<double>>>>,properties:struct<{}>>>"
+    east = F.array_max(F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda v: F.get(v, F.lit(0))))
+    out = read("marker_metadata.json", "markers array<struct<b_id:bigint,lat:double,owner_key:string,units:bigint>>").select(F.explode("markers").alias("m")).select(*row("marker", col("m.b_id"), col("m.lat"), col("m.owner_key"), col("m.units")))
+    tiles = read("blocks.geojson", shape.format("local_area:string,buildings:bigint")).select(F.explode("features").alias("f"))
+    south = F.array_min(F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda v: F.get(v, F.lit(1))))
+    place = (south / 2).cast("bigint") * 40 + (east / 2 - 1).cast("bigint")
+    out = out.union(tiles.select(*row("block", place, east, col("f.properties.local_area"), col("f.properties.buildings"))))
+    keyed = read("building_records.json", "records map<string,struct<id:bigint,name:string,value:double,units:bigint>>").select(F.explode("records").alias("k", "v"))
+    out = out.union(keyed.select(*row("record", col("k"), col("v.value"), col("v.name"), col("v.units"))))
+    keyed = read("networks.json", "networks map<string,struct<id:bigint,name:string,tier:bigint>>").select(F.explode("networks").alias("k", "v"))
+    out = out.union(keyed.select(*row("network", col("k"), none, col("v.name"), col("v.tier"))))
+    areas = read("overlay_areas.geojson", shape.format("name:string")).select(F.explode("features").alias("f"))
+    out = out.union(areas.select(*row("overlay", east - 1, east, col("f.properties.name"), none)))
+    config = read("filter_config.json", "schema_version bigint, dataset_totals struct<buildings:bigint>")
+    return out.union(config.select(*row("config", col("dataset_totals.buildings"), none, F.lit("totals"), col("schema_version"))))
+
+
+_NOW = """SELECT concat('c', CAST(c_custkey AS VARCHAR)) AS a, concat('g', CAST(c_custkey // 7 AS VARCHAR)) AS b FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_acctbal < 0)
+  UNION SELECT concat('s', CAST(s_suppkey AS VARCHAR)), concat('g', CAST(s_suppkey * 3 // 4 AS VARCHAR)) FROM supplier UNION SELECT concat('g', CAST(s_nationkey AS VARCHAR)), concat('g', CAST(s_nationkey + 9 AS VARCHAR)) FROM supplier WHERE s_acctbal > 9000"""
+
+
+@q(f"""WITH RECURSIVE e AS ({_NOW}), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM two UNION SELECT r.node, two.b FROM r JOIN two ON two.a = r.seen)
+  SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+def q_components_changed(s, d):
+    """Components over two relations after claims were retracted and others confirmed: only what they touch is computed again."""
+    before = _edges(s, d)
+    gone = t(s, d, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal < 0").select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("g"), F.floor(F.col("c_custkey") / 7)).alias("b"))
+    new = t(s, d, "supplier").where("s_acctbal > 9000").select(F.concat(F.lit("g"), "s_nationkey").alias("a"), F.concat(F.lit("g"), F.col("s_nationkey") + 9).alias("b"))
+    now = before.join(gone, ["a", "b"], "left_anti").union(new)
+    return graph.updated(graph.components(before), now, gone.union(new))
+
+
+_REACH = _LABELS + """, m AS (SELECT component, s_suppkey FROM labels JOIN supplier ON node = concat('s', CAST(s_suppkey AS VARCHAR))),
+  parcels AS (SELECT DISTINCT component, l_orderkey AS pid FROM m JOIN lineitem ON l_suppkey = s_suppkey WHERE l_linenumber = 1),
+  bu AS (SELECT o_orderkey AS pid, o_custkey AS addr FROM orders WHERE o_orderstatus = 'F'), po AS (SELECT o_orderkey AS pid, o_custkey + 1 AS addr FROM orders WHERE o_orderpriority < '4'),
+  rows AS (SELECT component, addr, pid, 'building' AS route, TRUE AS counts FROM parcels JOIN bu USING (pid) UNION ALL SELECT component, s_suppkey * 5, NULL, 'name', TRUE FROM m
+    UNION ALL SELECT component, addr, pid, 'point', FALSE FROM parcels JOIN po USING (pid)),
+  uncovered AS (SELECT component, addr FROM parcels JOIN po USING (pid) GROUP BY ALL HAVING NOT bool_or(pid IN (SELECT pid FROM bu))),
+  found AS (SELECT component, addr, string_agg(DISTINCT route, ',' ORDER BY route) AS routes, count(DISTINCT pid) AS n_pids, bool_or(counts) OR (component, addr) IN (SELECT (component, addr) FROM uncovered) AS counted FROM rows GROUP BY component, addr),
+  n AS (SELECT component, count(*) AS n_addr FROM found GROUP BY 1)"""
+
+
+@q(_REACH + """ SELECT component, addr, routes, n_pids, counted, component = first_value(component) OVER (PARTITION BY addr ORDER BY n_pids DESC, n_addr DESC, component) AS held FROM found JOIN n USING (component)""")
+def q_portfolio_routes(s, d):
+    """What the suppliers of each component reach by titles, points and names, and which component holds it."""
+    return _reach(s, d).withColumn("routes", F.array_join("routes", ","))
+
+
+@q(_REACH + """ SELECT component, count(*) AS addresses, count(*) FILTER (counted) AS buildings, count(*) FILTER (held) AS held FROM
+  (SELECT *, component = first_value(component) OVER (PARTITION BY addr ORDER BY n_pids DESC, n_addr DESC, component) AS held FROM found JOIN n USING (component)) GROUP BY component""")
+def q_portfolio_sizes(s, d):
+    return portfolios.sizes(_reach(s, d))
+
+
+def _reach(s, d):
+    labels = graph.components(_edges(s, d)).select(F.col("node").alias("entity"), "component")
+    owner = F.concat(F.lit("s"), "l_suppkey").alias("entity")
+    titles, orders = t(s, d, "lineitem").where("l_linenumber = 1").select(owner, F.col("l_orderkey").alias("pid")), t(s, d, "orders")
+    buildings = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("pid"), F.col("o_custkey").alias("addr"))
+    points = orders.where("o_orderpriority < '4'").select(F.col("o_orderkey").alias("pid"), (F.col("o_custkey") + 1).alias("addr"))
+    named = t(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("entity"), (F.col("s_suppkey") * 5).alias("addr"))
+    return portfolios.reached(labels, titles, buildings, points, named)
+
+
+@q("""SELECT c_custkey AS id, c_mktsegment AS name, CAST(NULL AS VARCHAR) AS note, o.n AS orders FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey""")
+def q_rebuilt_store(s, d):
+    """Claims kept through two builds, the second of which knows one column more, beside a table that each build makes anew."""
+    store = sinks.Store(s, _folder(s, "store"))
+    claims = t(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"))
+    counts = lambda: t(s, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("orders"))
+    store.rebuild({"counts": lambda: counts().where("orders > 3")}, {"claims": claims.schema})
+    claims.write.mode("append").parquet(store.tables()["claims"])
+    wider = claims.withColumn("note", F.lit(None).cast("string")).schema
+    store.rebuild({"counts": counts}, {"claims": wider})
+    return store.read("claims", wider).join(store.read("counts"), "id").select("id", "name", "note", "orders")

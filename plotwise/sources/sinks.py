@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def insert(df: DataFrame, path: str, replace: bool = False) -> None:
@@ -59,3 +63,59 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     shared = [c for c in a.columns if c in b.columns and not c.endswith("_at")]
     a, b = a.select(*shared), b.select(*shared)
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
+
+
+class Store:
+    """Tables of a folder that are rebuilt together, beside others that are kept from build to build.
+
+    ``build-<n>`` holds the tables of a build; ``manifests/<n>.json``, renamed into place after all of them are written,
+    says where each table is.  Readers see the last manifest, so that a build that fails leaves the old tables as they
+    are, and all of a build's tables appear at once.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def builds(self) -> list[int]:
+        at = self.path(f"{self.folder}/manifests")
+        names = [f.getPath().getName() for f in self.files.listStatus(at)] if self.files.exists(at) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+    def tables(self) -> dict[str, str]:
+        """Name to folder, of the last build; a row a table."""
+        done = self.builds()
+        return json.loads(self.spark.read.text(f"{self.folder}/manifests/{done[-1]}.json").first()[0]) if done else {}
+
+    def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
+        """A table; with a schema its columns, those that it lacks as nulls."""
+        df = self.spark.read.parquet(self.tables()[name])
+        if schema is None:
+            return df
+        return df.select(*((F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+
+    def rebuild(self, build: dict[str, Callable[[], DataFrame]], kept: dict[str, T.StructType]) -> None:
+        """Builds tables anew.  Kept ones stay where they are; they gain the columns that they lack, and are made empty if new."""
+        number, now = (self.builds() or [0])[-1] + 1, self.tables()
+        place = lambda name: f"{self.folder}/build-{number}/{name}"
+        then = {}
+        for name, make in build.items():
+            make().write.mode("overwrite").parquet(place(name))
+            then[name] = place(name)
+        for name, schema in kept.items():
+            then[name] = now.get(name)
+            if name not in now:
+                self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(place(name))
+                then[name] = place(name)
+            elif set(schema.names) - set(self.read(name).columns):
+                extra = [c for c in self.read(name).columns if c not in schema.names]
+                whole = T.StructType([*schema.fields, *(self.read(name).schema[c] for c in extra)])
+                self.read(name, whole).write.mode("overwrite").parquet(place(name))
+                then[name] = place(name)
+        written = self.path(f"{self.folder}/manifests/{number}.json.tmp")
+        out = self.files.create(written, True)
+        out.write(json.dumps(then).encode())
+        out.close()
+        if not self.files.rename(written, self.path(f"{self.folder}/manifests/{number}.json")):
+            raise RuntimeError(f"build {number} was made by another run")
