@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from plotwise.functions.names import owner_key
 
 RELATIONS = ("common_owner", "same_entity", "managed_by", "network_label", "entity_kind", "institutional")
 STATES = ("proposed", "confirmed", "retracted")
@@ -50,3 +53,27 @@ def basis(source):
 def crossed(rows: DataFrame, owners: str, people: str) -> DataFrame:
     """A claim for each company and person of a row."""
     return rows.select("*", F.explode(owners).alias("entity_a")).select("*", F.explode(people).alias("entity_b")).drop(owners, people)
+
+
+def derived(filings: DataFrame, examples: int = 3) -> DataFrame:
+    """Claims of common ownership from registry filings, one for each pair of a body and a holder.
+
+    filings: (ordinal, pid, body, holder, interest, dated).  Rows with a blank name, or whose two names are one, are left
+    out; names that differ in case and signs only are one, shown as they first come.  Parcels are counted once; the
+    least ones are examples, of which each task passes on only so many; the date is the latest.
+    """
+    rows = filings.withColumns({"body": F.trim("body"), "holder": F.trim("holder")}).where("body != '' and holder != ''")
+    rows = rows.withColumns({"key_a": owner_key(F.col("body")), "key_b": owner_key(F.col("holder"))}).where("key_a != key_b")
+    pair = ["key_a", "key_b"]
+    shown = rows.groupBy(*pair).agg(
+        F.min_by("body", "ordinal").alias("entity_a"), F.min_by("holder", "ordinal").alias("entity_b"), F.array_sort(F.collect_set(F.nullif("interest", F.lit("")))).alias("interests"),
+        F.substring_index(F.max(F.nullif("dated", F.lit(""))), " ", 1).alias("date_reported"),
+    )
+    parcels = rows.where("pid != ''").select(*pair, "pid").distinct()
+    counts = parcels.groupBy(*pair).agg(F.count(F.lit(1)).alias("n_pids"))
+    first = parcels.withColumn("_n", F.row_number().over(Window.partitionBy(*pair).orderBy("pid"))).where(F.col("_n") <= examples)
+    first = first.groupBy(*pair).agg(F.array_sort(F.collect_list("pid")).alias("example_pids"))
+    out = shown.join(counts, pair, "left").join(first, pair, "left")
+    key = F.concat(F.lit("registry-"), "key_a", F.lit("--"), "key_b").alias("claim_key")
+    none = F.array().cast(first.schema["example_pids"].dataType)
+    return out.select(key, "entity_a", "entity_b", F.coalesce("n_pids", F.lit(0)).alias("n_pids"), F.coalesce("example_pids", none).alias("example_pids"), "interests", "date_reported")

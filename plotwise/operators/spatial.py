@@ -194,36 +194,6 @@ def centroid(ring: Column) -> tuple[Column, Column]:
     return F.when(total["a"] == 0, mean("x")).otherwise(total["x"] / (3 * total["a"])), F.when(total["a"] == 0, mean("y")).otherwise(total["y"] / (3 * total["a"]))
 
 
-def simplified(line: Column, tolerance: float) -> Column:
-    """Drops points of a ring or line that lie within the tolerance of the line through the rest (Douglas-Peucker), by Arrow."""
-    import numpy as np
-    import pandas as pd
-
-    @F.pandas_udf("array<struct<x:double,y:double>>")
-    def run(lines: pd.Series) -> pd.Series:
-        def one(points):
-            if points is None or len(points) < 3:
-                return points
-            xy = np.array([(p["x"], p["y"]) for p in points])
-            keep, stack = {0, len(xy) - 1}, [(0, len(xy) - 1)]
-            while stack:
-                a, b = stack.pop()
-                if b - a < 2:
-                    continue
-                way, off = xy[b] - xy[a], xy[a + 1 : b] - xy[a]
-                length = float(np.hypot(*way))
-                away = np.abs(way[0] * off[:, 1] - way[1] * off[:, 0]) / length if length else np.hypot(off[:, 0], off[:, 1])
-                if away.max() > tolerance:
-                    k = a + 1 + int(away.argmax())
-                    keep.add(k)
-                    stack += [(a, k), (k, b)]
-            return [points[k] for k in sorted(keep)]
-
-        return lines.map(one)
-
-    return run(line)
-
-
 def area_labels(blocks: DataFrame) -> DataFrame:
     """``area-NN`` from north to south and then west to east, those without a centroid last; blocks: (block_id, area, cx, cy)."""
     from pyspark.sql.window import Window

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from plotwise.operators import artifacts, blocks, contract, graph, keys, portfolios, simplify, spatial
+from plotwise.operators import artifacts, blocks, claims, contract, graph, keys, networks, portfolios, simplify, spatial
 from plotwise.operators.graph import ready
-from plotwise.sources import files, sinks
+from plotwise.sources import files, pages, sinks
 
 from .base import Registry, t
 from .joins import _LABELS, _edges
@@ -232,3 +232,65 @@ def q_rebuilt_store(s, d):
     wider = claims.withColumn("note", F.lit(None).cast("string")).schema
     store.rebuild({"counts": counts}, {"claims": wider})
     return store.read("claims", wider).join(store.read("counts"), "id").select("id", "name", "note", "orders")
+
+
+@q("""WITH f AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN upper(p_brand) || '.' ELSE p_brand END AS body, CASE WHEN l_suppkey % 9 = 0 THEN ' ' WHEN l_suppkey % 9 = 1 THEN lower(p_brand) ELSE 'S ' || (l_suppkey % 9) END AS holder,
+    CAST(l_orderkey AS VARCHAR) AS pid, l_returnflag AS interest, CASE WHEN l_linestatus = 'F' THEN strftime(l_shipdate, '%Y-%m-%d 00:00') END AS dated FROM lineitem JOIN part ON p_partkey = l_partkey),
+  g AS (SELECT *, replace(rtrim(lower(body), '.'), '#', '-') AS a, replace(lower(holder), ' ', '-') AS b FROM f WHERE trim(holder) <> '' AND rtrim(lower(body), '.') <> lower(holder))
+  SELECT 'registry-' || a || '--' || b AS claim_key, count(DISTINCT pid) AS n_pids, array_to_string(list_slice(list(DISTINCT pid ORDER BY pid), 1, 3), ',') AS example_pids,
+    string_agg(DISTINCT interest, ',' ORDER BY interest) AS interests, substr(max(dated), 1, 10) AS date_reported FROM g GROUP BY a, b""")
+def q_derived_claims(s, d):
+    """Claims from filings of bodies and holders, with counted parcels, three examples, interests and the latest date."""
+    n, brand = F.col("l_suppkey") % 9, F.col("p_brand")
+    rows = t(s, d, "lineitem").join(t(s, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(
+        F.struct("l_orderkey", "l_linenumber").alias("ordinal"), F.col("l_orderkey").cast("string").alias("pid"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.upper(brand), F.lit("."))).otherwise(brand).alias("body"),
+        F.when(n == 0, " ").when(n == 1, F.lower(brand)).otherwise(F.concat(F.lit("S "), n.cast("string"))).alias("holder"), F.col("l_returnflag").alias("interest"),
+        F.when(F.col("l_linestatus") == "F", F.date_format("l_shipdate", "yyyy-MM-dd 00:00")).alias("dated"),
+    )
+    return claims.derived(rows).select("claim_key", "n_pids", F.array_join("example_pids", ",").alias("example_pids"), F.array_join("interests", ",").alias("interests"), "date_reported")
+
+
+@q("""SELECT o_custkey % 23 AS network, count(*) AS buildings, sum(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 40 ELSE 0 END)::BIGINT AS units,
+  CAST(round_even(sum(CASE WHEN o_orderstatus = 'O' AND o_custkey % 23 <> 5 THEN floor(o_totalprice) WHEN o_orderstatus = 'F' AND o_custkey % 23 <> 5 THEN 7 END), 0) AS BIGINT) AS assessed_value, count(*) FILTER (o_orderpriority < '3') AS open_issues FROM orders GROUP BY 1""")
+def q_network_sums(s, d):
+    """Totals of networks; one of them has no value on record."""
+    k, valued = F.col("o_orderkey"), F.col("o_custkey") % 23 != 5
+    rows = t(s, d, "orders").select(
+        (F.col("o_custkey") % 23).alias("network"), F.when(k % 3 > 0, k % 40).alias("units"), F.when(valued & (F.col("o_orderstatus") == "O"), F.floor("o_totalprice")).alias("value_land"),
+        F.when(valued & (F.col("o_orderstatus") == "F"), 7).alias("value_building"), F.when(F.col("o_orderpriority") < "3", 1).alias("n_issues"),
+    )
+    return networks.totals(rows)
+
+
+_SPELLED = """s AS (SELECT p_size % 5 AS network, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN upper(p_brand) || '.' ELSE replace(p_brand, '#', ' ') END AS name, bool_or(p_partkey % 4 = 0) AS registered,
+    min(CASE WHEN length(p_brand) = 7 THEN 'individual' WHEN p_brand LIKE '%1%' THEN 'company' ELSE 'unknown' END) AS kind FROM part GROUP BY ALL),
+  e AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k FROM s), c AS (SELECT *, CASE WHEN k IN ('brand1', 'brand2') THEN '=pair' ELSE k END AS entity FROM e),
+  o AS (SELECT l_suppkey % 5 AS network, c.entity, count(DISTINCT l_orderkey * 10 + l_linenumber) AS buildings FROM lineitem JOIN part ON p_partkey = l_partkey JOIN c ON c.network = l_suppkey % 5 AND c.k = regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') GROUP BY ALL)"""
+
+
+@q(f"""WITH {_SPELLED}, b AS (SELECT network, entity, arg_min(name, (NOT registered, name)) AS name, arg_min(kind, (NOT registered, name)) AS kind, list(name ORDER BY name) AS names FROM c GROUP BY ALL)
+  SELECT b.network, name, array_to_string(list_filter(names, lambda x: x <> name), '|') AS also_named, nullif(kind, 'unknown') AS kind, coalesce(buildings, 0) AS buildings FROM b LEFT JOIN o ON o.network = b.network AND o.entity = b.entity""")
+def q_network_entities(s, d):
+    """Entities of networks under several spellings, two of them linked by a claim, with the buildings they own."""
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    name = F.when(k % 3 == 0, brand).when(k % 3 == 1, F.concat(F.upper(brand), F.lit("."))).otherwise(F.replace(brand, F.lit("#"), F.lit(" ")))
+    kind = F.when(F.length(brand) == 7, "individual").when(brand.contains("1"), "company").otherwise("unknown")
+    part = t(s, d, "part")
+    spelled = part.select((F.col("p_size") % 5).alias("network"), name.alias("name"), (k % 4 == 0).alias("registered"), kind.alias("kind"))
+    linked = spelled.select("name").distinct().where(networks.spelling_key(F.col("name")).isin("brand1", "brand2")).withColumn("cluster", F.lit("pair"))
+    owners = t(s, d, "lineitem").join(part, F.col("l_partkey") == k).select((F.col("l_suppkey") % 5).alias("network"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("building"), brand.alias("owner"))
+    return networks.entities(spelled, owners, linked).withColumn("also_named", F.array_join("also_named", "|"))
+
+
+_TOLD = "CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 5 ELSE 6 END"
+_LINKED = """(SELECT page_id, told, len(items) AS n, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS card FROM (SELECT page_id, """ + _TOLD + """ AS told, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS items FROM pages))"""
+
+
+@q(f"""SELECT page_id, card, item AS href, NULL AS problem FROM {_LINKED} WHERE told = n UNION ALL
+  SELECT page_id, NULL, NULL, CASE WHEN told IS NULL THEN 'tells no number' ELSE 'tells ' || told || ' cards, has ' || n END FROM (SELECT page_id, {_TOLD} AS told, len(regexp_extract_all(html, '<li>')) AS n FROM pages) WHERE told IS NULL OR told <> n""")
+def q_reconciled_cards(s, d):
+    """Cards of pages that have as many as they tell, and what is wrong with the other pages."""
+    n = F.when(F.col("page_id") % 5 == 0, "").when(F.col("page_id") % 3 == 0, "<p>5 cards found</p>").otherwise("<p>6 cards found</p>")
+    good, bad = pages.reconciled(t(s, d, "pages").select("page_id", F.concat("html", n).alias("html")), "<li>", r"<p>(\d+) cards found</p>", ("href",), href=r'<a href="([^"]*)">')
+    none = F.lit(None)
+    return good.select("page_id", "card", "href", none.cast("string").alias("problem")).union(bad.select("page_id", none.cast("int"), none.cast("string"), "problem"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,25 @@ def cards(html: Column, marker: str) -> Column:
     return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
+def reconciled(pages: DataFrame, marker: str, stated: str, needed: tuple[str, ...] = (), **fields: str) -> tuple[DataFrame, DataFrame]:
+    """(page_id, card, fields...) of sound pages, and (page_id, problem) of the others; pages: (page_id, html).
+
+    ``stated`` finds the number of cards that the page itself tells, each field the first group of its pattern in a card,
+    unescaped and trimmed.  A page is left out whole, and the job goes on, if it has another number of cards than it
+    tells, tells none, or a card lacks a needed field.
+    """
+    told = F.regexp_extract("html", stated, 1).try_cast("int")
+    read = lambda card, pattern: F.nullif(F.trim(unescaped(F.regexp_extract(card, pattern, 1))), F.lit(""))
+    made = F.transform(cards(F.coalesce("html", F.lit("")), marker), lambda card: F.struct(*(read(card, p).alias(name) for name, p in fields.items())))
+    rows = pages.select("page_id", told.alias("told"), made.alias("cards"))
+    count = F.size("cards").cast("string")
+    lacking = [F.when(F.exists("cards", lambda c: c[name].isNull()), F.lit(f"a card lacks {name}")) for name in needed]  # noqa: B023
+    off = F.when(F.col("told").isNull(), "tells no number").when(F.col("told") != F.size("cards"), F.concat(F.lit("tells "), F.col("told").cast("string"), F.lit(" cards, has "), count))
+    rows = rows.withColumn("problem", F.coalesce(off, *lacking))
+    good = rows.where("problem is null").select("page_id", F.posexplode("cards").alias("card", "_c")).select("page_id", "card", "_c.*")
+    return good, rows.where("problem is not null").select("page_id", "problem")
+
+
 def unescaped(c: Column) -> Column:
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(sign))
