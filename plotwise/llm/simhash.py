@@ -11,7 +11,8 @@ Equal fingerprints are one point from the start: copies are never paired.  Links
 lost, none beyond it is made (every comparison is the number of differing bits).
 
 Defined cases: null and empty texts, and texts of blanks, have fingerprint zero and link like any other; texts of
-fewer words than a shingle are one shingle; repeated rows each get their row; other columns are ignored.
+fewer words than a shingle are one shingle; repeated rows each get their row; a row without an id has the component of
+its fingerprint, and a null one if no row with an id has this fingerprint (it then links nothing); other columns are ignored.
 """
 
 from __future__ import annotations
