@@ -7,8 +7,8 @@ Int8 with a scale of their own; the norm of what rounding left over is known exa
 
 Only pairs that may reach the threshold within that bound are computed again in double precision.  A tile gives a link
 count per vector and a forest of its links, never its pairs.  Equal vectors are one point with a weight.  Vectors travel
-in the type that they come in, once for each block of their label; a product is cut into stripes, so that the size of a
-tile, and not its square, is what a task holds.
+in the type that they come in, once for each block of their label; a product is cut into stripes whose links are counted
+and forgotten one after the other, so that the size of a tile, and not its square, is what a task holds.
 
 Defined cases: rows without an id link with nothing, have no component and are not kept; null labels, and vectors that are null, empty, zero or hold null or non-finite numbers, link with
 nothing; vectors of different lengths do not link; repeated rows each count as a vector; other columns are ignored.
@@ -16,6 +16,8 @@ nothing; vectors of different lengths do not link; repeated rows each count as a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,25 +41,24 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the rows of ``x`` and ``y`` whose cosine reaches the threshold."""
+def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of the rows of ``x`` and ``y`` whose cosine reaches the threshold, by ``x``; a stripe of its rows at a time."""
     norm_x, norm_y = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
     qx, sx, ex = quantised(x / norm_x[:, None])
     qy, sy, ey = quantised(y / norm_y[:, None])
     kind = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64  # both hold the integer sums exactly
-    turned, found = qy.astype(kind).T, []
+    turned = qy.astype(kind).T
     for at in range(0, len(x), STRIPE):
         part = slice(at, at + STRIPE)
         about = (qx[part].astype(kind) @ turned).astype(np.float64) * sx[part, None] * sy[None, :]
         bound = (1 + ex[part])[:, None] * ey[None, :] + ex[part, None] + 1e-9
-        i, j = np.nonzero(about + bound >= threshold)
-        found.append((i + at, j))
-    a, b = (np.concatenate(z) for z in zip(*found))
-    sure = np.empty(len(a), bool)
-    for at in range(0, len(a), 65_536):
-        part = slice(at, at + 65_536)
-        sure[part] = (x[a[part]] * y[b[part]]).sum(1) / (norm_x[a[part]] * norm_y[b[part]]) >= threshold
-    return a[sure], b[sure]
+        a, b = np.nonzero(about + bound >= threshold)
+        a += at
+        sure = np.empty(len(a), bool)
+        for first in range(0, len(a), 65_536):
+            some = slice(first, first + 65_536)
+            sure[some] = (x[a[some]] * y[b[some]]).sum(1) / (norm_x[a[some]] * norm_y[b[some]]) >= threshold
+        yield a[sure], b[sure]
 
 
 def _tile(threshold: float):
@@ -66,21 +67,20 @@ def _tile(threshold: float):
         x = scaled(part["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = not len(two)
-        a, b = close_pairs(x[one], x[one] if same else x[two], threshold)
-        if same:
-            a, b = a[a < b], b[a < b]
-        a, b = one[a], (one if same else two)[b]
-        links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
-        forest, component = [], np.arange(len(ids))
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        for group in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1) if len(a) else ():
-            k = a[group[0]]
-            others, first = np.unique(component[b[group]], return_index=True)
-            for other, at in zip(others.tolist(), first.tolist()):
-                if other != component[k]:
-                    component[component == other] = component[k]
-                    forest.append((ids[k], ids[b[group[at]]], 0))
+        links, forest, component = np.zeros(len(ids), np.int64), [], np.arange(len(ids))
+        for a, b in close_pairs(x[one], x[one] if same else x[two], threshold):
+            if same:
+                a, b = a[a < b], b[a < b]
+            a, b = one[a], (one if same else two)[b]
+            links += (np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))).astype(np.int64)
+            starts = np.flatnonzero(np.diff(a, prepend=-1))
+            for start, end in zip(starts, np.append(starts[1:], len(a))):
+                k, linked = a[start], b[start:end]
+                others, first = np.unique(component[linked], return_index=True)
+                for other, at in zip(others.tolist(), first.tolist()):
+                    if other != component[k]:
+                        component[component == other] = component[k]
+                        forest.append((ids[k], ids[linked[at]], 0))
         rows = [(ids[k], None, int(links[k])) for k in np.flatnonzero(links)] + forest
         return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("a", "b", "n"))})
 

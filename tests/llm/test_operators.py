@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -87,6 +89,20 @@ def test_near_vectors_of_any_size(spark):
     assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (None, 0, None, False), (4, 1, 4, True), (4, 1, 4, True), (5, 1, 5, True), (6, 1, 5, False)], key=str)
 
 
+def test_dense_tile_keeps_no_pairs():
+    """A tile of vectors that are all linked: its pairs are counted stripe by stripe, its forest is a star."""
+    n = vectors.TILE
+    x = 1 + 0.01 * np.random.default_rng(4).normal(size=(n, 64))
+    part = pa.table({"id": np.arange(n), "n": np.ones(n, np.int64), "side": np.zeros(n, np.int32), "embedding": pa.array(list(x), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    out = vectors._tile(0.98)(part).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    links = {r["a"]: r["n"] for r in out if r["b"] is None}
+    assert links == dict.fromkeys(range(n), n - 1) and sum(r["b"] is not None for r in out) == n - 1
+    assert peak < 16 * n * n  # the pairs' indices alone would be as much
+
+
 def test_error_bounds_hold():
     x = np.random.default_rng(2).normal(size=(60, 24))
     unit = x / np.linalg.norm(x, axis=1)[:, None]
