@@ -21,7 +21,7 @@ PUBLIC_BODIES = (
     "metro vancouver housing", "his majesty", "her majesty", "government of canada", "canada mortgage and housing", "board of parks and recreation",
 )
 PROVINCE = "province of british columbia"
-COOP_WORDS = ("coop", "co op", "cooperative", "co operative")
+COOP_WORDS = ("coop", "cooperative")  # also with a dash after "co"
 CORPORATE_ENDS = ("ltd", "limited", "inc", "incorporated", "corp", "corporation")
 SOCIETY_WORDS = ("society", "association")
 CHARITY_WORDS = (
@@ -88,7 +88,8 @@ def kind_of_name(c: Column) -> Column:
     a list of words, and its place in the chain.
     """
     name = F.trim(F.coalesce(c, F.lit("")))
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), F.lit(" "))
+    undashed = F.regexp_replace(F.lower(name), r"\bco-(?=op(?:erative)?\b)", "co")
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(undashed, "[^a-z0-9]+", " ")), F.lit(" "))
     holds = lambda listed: reduce(or_, (F.contains(words, F.lit(f" {w} ")) for w in listed))
     ends = lambda listed: reduce(or_, (F.endswith(words, F.lit(f" {w} ")) for w in listed))
     begins = lambda listed: reduce(or_, (F.startswith(words, F.lit(f" {w} ")) for w in listed))
