@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from plotwise.plans import aggregates, civic, joins, merges, records, texts, whole
+from plotwise.plans import aggregates, civic, joins, merges, records, shown, texts, whole
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (aggregates, joins, civic, records, texts, whole, merges):
+for _module in (aggregates, joins, civic, records, texts, whole, merges, shown):
     QUERIES |= _module.q.queries
     ORACLE_SQL |= _module.q.sql
