@@ -121,7 +121,19 @@ def lat_lon(c: Column) -> tuple[Column, Column]:
     return parts[0], parts[1]
 
 
+def _capital(word: Column) -> Column:
+    mc = F.concat(F.lit("Mc"), F.upper(F.substring(word, 3, 1)), F.substring(word, 4, 1_000_000))
+    return F.when(word.rlike("^mc[a-z]"), mc).otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1_000_000)))
+
+
 def display(c: Column) -> Column:
-    """Capital first letters; directions in capitals; ordinals as they are."""
-    words = F.transform(F.split(F.lower(c), " "), lambda w: F.when(w.rlike(rf"^({DIRECTIONS})$"), F.upper(w)).when(w.rlike(r"^\d"), w).otherwise(F.initcap(w)))
-    return F.array_join(words, " ")
+    """An address key as it is shown; null is empty, and what has a capital letter is shown as it is.
+
+    Directions, and words with digits, are in capitals, but for ordinals; a part after a dash has a capital unless the
+    one before has at most two letters.
+    """
+    raw = F.trim(c)
+    parts = lambda w: F.split(w, "-")
+    plain = lambda w: F.array_join(F.transform(parts(w), lambda p, k: F.when((k > 0) & (F.length(F.get(parts(w), k - 1)) <= 2), p).otherwise(_capital(p))), "-")
+    shown = lambda w: F.when(w.rlike(rf"^({DIRECTIONS})$"), F.upper(w)).when(w.rlike(r"^[0-9]+(st|nd|rd|th)$"), w).when(w.rlike("[0-9#]"), F.upper(w)).otherwise(plain(w))
+    return F.coalesce(F.when(raw != F.lower(raw), raw).otherwise(F.array_join(F.transform(F.split(raw, r"(?U)\s+"), shown), " ")), F.lit(""))

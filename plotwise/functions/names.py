@@ -63,13 +63,19 @@ def same_entity(a: Column, b: Column, cluster_a: Column, cluster_b: Column) -> C
 
 
 def owner_label(c: Column) -> Column:
-    """A list written as text becomes its items; quotes and brackets around one name go."""
+    """A list written as text, of names in quotes or of numbers, becomes its items; quotes and brackets around one name go.
+
+    A list of nothing, and blanks, are ``(Unknown)``.  A list that is not written out properly stays as it is.
+    """
     s = F.trim(c)
-    listed = s.rlike(r"^\[.*\]$|^\(.*,.*\)$") & s.rlike(r"""['"]""")
-    items = F.regexp_extract_all(s, F.lit(r"""'([^']*)'|"([^"]*)\""""), 0)
-    joined = F.array_join(F.filter(F.transform(items, lambda x: F.trim(F.regexp_replace(x, r"""^['"]|['"]$""", ""))), lambda x: x != ""), ", ")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(s, r"""^(['"])(.*)(['"])$""", "$2"), r"^\[([^,]*)\]$", "$1"))
-    return F.coalesce(F.nullif(F.when(listed, joined).otherwise(plain), F.lit("")), F.lit("(Unknown)"))
+    item = r"""(?:'[^']*'|"[^"]*"|-?[0-9]+(?:\.[0-9]+)?)"""
+    items = F.regexp_extract_all(s, F.lit(f"({item})"), 1)
+    several = s.rlike(rf"^\[\s*(?:{item}\s*(?:,\s*{item}\s*)*+,?\s*)?\]$|^\(\s*(?:{item}\s*,\s*(?:{item}\s*(?:,\s*{item}\s*)*+,?\s*)?)?\)$")
+    joined = F.array_join(F.filter(F.transform(items, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"""^['"]|['"]$""", "")), r"""^['"]+|['"]+$""", "")), lambda x: x != ""), ", ")
+    bare = F.trim(F.regexp_replace(s, r"""^\(\s*(?:'([^']*)'|"([^"]*)")\s*\)$""", "$1$2"))
+    unquoted = F.trim(F.regexp_replace(bare, r"""(?s)^['"](.*)['"]$""", "$1"))
+    plain = F.trim(F.regexp_replace(unquoted, r"^\[([^,]*)\]$", "$1"))
+    return F.coalesce(F.nullif(F.when(several, joined).otherwise(plain), F.lit("")), F.lit("(Unknown)"))
 
 
 def sector(c: Column) -> Column:

@@ -88,3 +88,22 @@ def escaped_html(c: Column) -> Column:
     for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(sign), F.lit(name))
     return c
+
+
+def escaped_html(c: Column) -> Column:
+    """Text for markup; null is empty."""
+    out = F.coalesce(c.cast("string"), F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def thousands(c: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(c, 0)
+
+
+def same_name(a: Column, b: Column) -> Column:
+    """Whether two names are one but for case, blanks and signs."""
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    return key(a) == key(b)

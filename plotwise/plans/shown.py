@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plotwise.functions import address, names, text
 from plotwise.operators import tables as X
 from plotwise.sources.config import parse_corrections
 
@@ -109,3 +110,17 @@ def q_strata_lots(s, d):
     """Lots with numbers and plans written in any way."""
     pid = F.regexp_replace(F.lpad(F.col("c_custkey").cast("string"), 9, "0"), "^(...)", "PID $1 ")
     return X.strata_lots(t(s, d, "customer").select(F.col("c_custkey").alias("line"), pid.alias("pid"), F.concat(F.lit(" bcs "), F.col("c_nationkey")).alias("strata_plan"), F.when(F.col("c_acctbal") > 0, F.concat(F.lit(" "), "c_name")).otherwise(" ").alias("note")))
+
+
+@q("""SELECT c_custkey AS id, concat(CAST(c_custkey AS VARCHAR), ['A E 6th Ave', ' McGill St', ' Saint-Jean Co-operative Way'][c_custkey % 3 + 1]) AS address, concat('&lt;', c_name, ' &amp; &quot;Co&#x27;s&quot;&gt;') AS html,
+CASE WHEN c_custkey < 1000 THEN CAST(c_custkey AS VARCHAR) ELSE format('{:,}', c_custkey) END AS units,
+[concat(c_name, ', B'), c_name, concat(CAST(c_custkey AS VARCHAR), ', 7'), '(Unknown)', concat('[', c_name, ', B]')][c_custkey % 5 + 1] AS owner, c_custkey % 2 = 0 AS same FROM customer""")
+def q_displayed(s, d):
+    """Addresses, markup, numbers and labels of owners as they are shown."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    pick = lambda n, *values: F.get(F.array(*(v if not isinstance(v, str) else F.lit(v) for v in values)), (k % n).cast("int"))
+    owner = pick(5, F.concat(F.lit("['"), name, F.lit("', \"B\"]")), F.concat(F.lit("('"), name, F.lit("')")), F.concat(F.lit("("), k.cast("string"), F.lit(", 7)")), "[ ]", F.concat(F.lit("["), name, F.lit(", B]")))
+    return t(s, d, "customer").select(
+        k.alias("id"), address.display(F.concat(k.cast("string"), pick(3, "a  e 6th ave", " mcgill st", " saint-jean co-operative way"))).alias("address"), text.escaped_html(F.concat(F.lit("<"), name, F.lit(" & \"Co's\">"))).alias("html"),
+        text.thousands(k).alias("units"), names.owner_label(owner).alias("owner"), text.same_name(F.upper(name), F.concat(F.lit(" "), F.replace(name, F.lit("#"), F.lit(". ")), F.when(k % 2 == 0, "").otherwise("x"))).alias("same"),
+    )

@@ -19,7 +19,7 @@ def test_texts(spark):
     x = F.col("x")
     assert values(spark, text.blank_to_null(x), " a ", "  ", "", None) == ["a", None, None, None]
     assert values(spark, text.money_text(x), 3.0, 2.5, None, schema="x double") == ["3", "2.5", None]
-    assert values(spark, address.display(x), "100 w 2ND AVE", "main st", None) == ["100 W 2nd Ave", "Main St", None]
+    assert values(spark, address.display(x), "100 w 2nd ave", "100 w 2ND AVE", "main st", None) == ["100 W 2nd Ave", "100 w 2ND AVE", "Main St", ""]
     assert values(spark, names.same_entity(x, F.lit("Acme Holdings Ltd."), F.lit("1"), F.lit("2")), "ACME HOLDINGS", "Other", None) == [True, False, False]
     assert values(spark, names.same_entity(x, F.lit("B"), F.lit("1"), F.lit("1")), "A") == [True]
 

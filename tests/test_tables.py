@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from plotwise.functions import address, names
 from plotwise.operators import tables
 
 RECORD = "address string, units bigint, owner_key string, owner_name string, network_key string, network_name string, no_filing string, local_area string"
@@ -45,3 +46,18 @@ def test_filters_of_odd_records(spark):
     halves = record.withColumns({"value_land": F.lit(2.5), "value_bldg": F.lit(3.5), "units": F.lit(-1.9), "year_built": F.lit(float("inf"))})
     got = tables.filter_fields(halves).first()
     assert (got.value_land, got.value_bldg, got.units, got.year_built) == (2.0, 4.0, -1, None)
+
+
+def test_labels_of_owners(spark):
+    want = {
+        None: "(Unknown)", "  ": "(Unknown)", "[]": "(Unknown)", "['A', 'B']": "A, B", '["A Ltd", \'\', 3]': "A Ltd, 3", "('A',)": "A", "('A')": "A", "(1, 2)": "1, 2", "[A]": "A", "[A, B]": "[A, B]", "'A'": "A", '"A\'': "A",
+        "A (B)": "A (B)", "['A'": "['A'", "[12]": "12", "(A)": "(A)",
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "name string").select("name", names.owner_label(F.col("name")).alias("label")).collect()
+    assert {r.name: r.label for r in rows} == want
+
+
+def test_addresses_as_shown(spark):
+    want = {None: "", "": "", "350 e 6th ave": "350 E 6th Ave", "1234a mcdonald st": "1234A McDonald St", "#200-581 se marine dr": "#200-581 SE Marine Dr", "7 Already st": "7 Already st", " 5  saint-jean   co-operative ": "5 Saint-Jean Co-operative"}
+    rows = spark.createDataFrame([(k,) for k in want], "a string").select("a", address.display(F.col("a")).alias("shown")).collect()
+    assert {r.a: r.shown for r in rows} == want
