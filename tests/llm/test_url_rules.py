@@ -28,6 +28,17 @@ def test_explicit_rules_by_sql(spark):
         assert r.verdict == (verdict or ("block" if r.mined_rule else "allow"))
 
 
+def test_query_by_the_contracts_rules(spark, tmp_path):
+    urls = ["http://x.net/de/8", "http://net/de/", "http://EXAMPLE.net/de/7", "http://example.net/de/8#y", "http://a.example.net/de/88?z", "http://a.com/en/", "http://b.example.com/en/7", "http://a.org/es/", "http://notnet/de/", "http://a.net/DE/8", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.op3_url_rules(spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(len(urls))] == [
+        ("net/de/", "allow"), ("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("example.net/de/8", "block"),
+        ("com/en/", "block"), ("example.com/en/7", "allow"), ("org/es/", "block"), (None, "allow"), (None, "allow"), (None, "allow"),
+    ]
+
+
 def tokens(spark, urls):
     rows = spark.createDataFrame([(u,) for u in urls], "url string").distinct().select("url", url_rules.tokens_of(F.col("url")).alias("t")).collect()
     return {r.url: frozenset(r.t) for r in rows}
