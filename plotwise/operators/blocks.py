@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spatial
+from .graph import saved
 
 UNKNOWN = "(Unknown)"
 
@@ -22,7 +23,7 @@ def counted(blocks: DataFrame, buildings: DataFrame, size: float) -> DataFrame:
     )
     zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(name)
     none = F.array().cast(totals.schema["building_ids"].dataType)
-    return blocks.join(totals, "polygon_id", "left").select("polygon_id", "rings", zero("buildings"), zero("total_units"), "median_year", F.coalesce("building_ids", none).alias("building_ids"), "area")
+    return blocks.join(totals.hint("merge"), "polygon_id", "left").select("polygon_id", "rings", zero("buildings"), zero("total_units"), "median_year", F.coalesce("building_ids", none).alias("building_ids"), "area")
 
 
 def with_areas(blocks: DataFrame, named: DataFrame, size: float) -> DataFrame:
@@ -35,9 +36,9 @@ def with_areas(blocks: DataFrame, named: DataFrame, size: float) -> DataFrame:
     named = named.where("area is not null and x is not null and y is not null")
     held = spatial.assigned(named, blocks.select("polygon_id", "rings"), size).where("polygon_id is not null")
     inside = held.groupBy("polygon_id").agg(F.mode("area", True).alias("_inside"))
-    told = blocks.join(inside, "polygon_id", "left")
+    told = saved(blocks.join(inside.hint("merge"), "polygon_id", "left"))  # else each round of the nearest would count the blocks again
     x, y = spatial.centroid(F.get("rings", F.lit(0)))
     asking = told.where("area is null and _inside is null").select(F.col("polygon_id").alias("point_id"), x.alias("x"), y.alias("y"))
     near = spatial.nearest(asking, named.select(F.col("point_id").alias("target_id"), F.col("x").alias("tx"), F.col("y").alias("ty")), size)
-    near = near.join(named.select(F.col("point_id").alias("target_id"), F.col("area").alias("_near")), "target_id").select(F.col("point_id").alias("polygon_id"), "_near")
-    return told.join(near, "polygon_id", "left").withColumn("area", F.coalesce("area", "_inside", "_near", F.lit(UNKNOWN))).drop("_inside", "_near")
+    near = near.join(named.select(F.col("point_id").alias("target_id"), F.col("area").alias("_near")).hint("merge"), "target_id").select(F.col("point_id").alias("polygon_id"), "_near")
+    return told.join(near.hint("merge"), "polygon_id", "left").withColumn("area", F.coalesce("area", "_inside", "_near", F.lit(UNKNOWN))).drop("_inside", "_near")

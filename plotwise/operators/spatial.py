@@ -1,6 +1,9 @@
 """Points and polygons by grid cells: an equality join finds candidates, an expression decides.
 
 A polygon is an array of rings, a ring an array of (x, y); even-odd over all rings, so that holes count.
+
+Joins of tables that grow with the input are sorted merges by hint: Spark's size estimates follow the compressed files, not
+rows and rings, and a million points in a file of some MB would go through the driver as a broadcast.
 """
 
 from __future__ import annotations
@@ -58,7 +61,7 @@ def with_cells(polygons: DataFrame, size: float) -> DataFrame:
     x1, y1, x2, y2 = bounds(F.col("rings"))
     cell = lambda v: F.floor(v / size)
     return (
-        polygons.withColumn("edges", edges_of(F.col("rings")))
+        polygons.withColumns({"edges": edges_of(F.col("rings")), "_x1": x1, "_y1": y1, "_x2": x2, "_y2": y2})
         .withColumn("_cx", F.explode(F.sequence(cell(x1), cell(x2))))
         .withColumn("_cy", F.explode(F.sequence(cell(y1), cell(y2))))
     )
@@ -66,19 +69,21 @@ def with_cells(polygons: DataFrame, size: float) -> DataFrame:
 
 def candidates(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     placed = points.withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
-    return placed.join(with_cells(polygons, size).select("polygon_id", "edges", "_cx", "_cy"), ["_cx", "_cy"])
+    cells = with_cells(polygons, size).select("polygon_id", "edges", "_cx", "_cy", "_x1", "_y1", "_x2", "_y2").hint("merge")
+    met = placed.join(cells, ["_cx", "_cy"]).where("x between _x1 and _x2 and y between _y1 and _y2")
+    return met.drop("_x1", "_y1", "_x2", "_y2")
 
 
 def assigned(points: DataFrame, polygons: DataFrame, size: float, boundary: bool = True) -> DataFrame:
     """Adds the smallest polygon_id that holds the point; points: (point_id, x, y)."""
     hits = candidates(points, polygons, size).where(inside(F.col("edges"), F.col("x"), F.col("y"), boundary))
-    return points.join(hits.groupBy("point_id").agg(F.min("polygon_id").alias("polygon_id")), "point_id", "left")
+    return points.join(hits.groupBy("point_id").agg(F.min("polygon_id").alias("polygon_id")).hint("merge"), "point_id", "left")
 
 
 def flagged(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     """Points that some polygon holds."""
     hits = candidates(points, polygons, size).where(inside(F.col("edges"), F.col("x"), F.col("y"))).select("point_id").distinct()
-    return points.join(hits.withColumn("inside", F.lit(True)), "point_id", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    return points.join(hits.withColumn("inside", F.lit(True)).hint("merge"), "point_id", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
 def _cross(a: Column, b: Column) -> Column:
@@ -102,6 +107,12 @@ def intersecting(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
 
 RINGS_FIRST = (1, 8)  # cells are so many times as wide in the two rounds before the quad cells
 QUAD, DEEPEST = 64, 40  # targets of a quad cell that is not split further; levels
+FEW_CELLS = 20_000  # cells of a level that are broadcast, counted first; more are joined by sorting
+
+
+def _few(cells: DataFrame) -> DataFrame:
+    """Saved cells with the hint that their number asks for."""
+    return F.broadcast(cells) if cells.count() <= FEW_CELLS else cells.hint("merge")
 
 
 def _quad_levels(targets: DataFrame, limit: int) -> tuple[list[DataFrame], DataFrame]:
@@ -122,7 +133,7 @@ def _quad_levels(targets: DataFrame, limit: int) -> tuple[list[DataFrame], DataF
         split = (F.col("n") > limit) & F.lit(level < DEEPEST)
         cells = saved(cells.withColumns({"split": split, "px": F.shiftright("qx", 1), "py": F.shiftright("qy", 1)}))
         levels.append(cells)
-        told = saved(placed.join(cells.select("qx", "qy", "split"), ["qx", "qy"]))
+        told = saved(placed.join(_few(cells.select("qx", "qy", "split")), ["qx", "qy"]))
         home = told.where("not split").select(F.lit(level).alias("level"), "qx", "qy", "target_id", "tx", "ty")
         homes = home if homes is None else homes.unionByName(home)
         going = told.where("split").select("target_id", "tx", "ty")
@@ -134,24 +145,28 @@ def _quad_levels(targets: DataFrame, limit: int) -> tuple[list[DataFrame], DataF
 def descended(points: DataFrame, targets: DataFrame, limit: int = QUAD) -> DataFrame:
     """(point_id, target_id): the nearest target of each point, ties the smallest, by going down quad cells.
 
-    Each cell tells of one target, so that a point knows a distance that suffices, and leaves cells that are farther.
-    However the targets crowd, a point meets those of few cells.
+    Each cell tells of one target, and has one on every side of its bounds, so that a point knows a distance that suffices,
+    and leaves cells that are farther.  However the targets crowd, a point meets those of few cells.
     """
     levels, homes = _quad_levels(targets, limit)
     zero = F.lit(0).cast("bigint")
     asking = points.select("point_id", "x", "y", F.lit(float("inf")).alias("enough"), zero.alias("px"), zero.alias("py"))
     square = lambda x, y: F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2)
     beyond = lambda c, low, high: F.greatest(F.col(low) - F.col(c), F.lit(0.0), F.col(c) - F.col(high))
+    nearer = lambda c, low, high: F.least(F.abs(F.col(c) - F.col(low)), F.abs(F.col(c) - F.col(high)))
+    farther = lambda c, low, high: F.greatest(F.abs(F.col(c) - F.col(low)), F.abs(F.col(c) - F.col(high)))
+    bx, by = ("x", "x1", "x2"), ("y", "y1", "y2")
+    reach = F.least(F.pow(nearer(*bx), 2) + F.pow(farther(*by), 2), F.pow(farther(*bx), 2) + F.pow(nearer(*by), 2))  # to some target on the nearer side
     own, ends = Window.partitionBy("point_id"), None  # the few cells of a point
     for level, cells in enumerate(levels):
-        met = asking.join(cells, ["px", "py"]).withColumn("far", F.pow(beyond("x", "x1", "x2"), 2) + F.pow(beyond("y", "y1", "y2"), 2)).where("far <= enough")
-        met = met.withColumn("enough", F.least("enough", F.min(square(F.col("one.tx"), F.col("one.ty"))).over(own))).where("far <= enough")
+        met = asking.join(_few(cells), ["px", "py"]).withColumn("far", F.pow(beyond("x", "x1", "x2"), 2) + F.pow(beyond("y", "y1", "y2"), 2)).where("far <= enough")
+        met = met.withColumn("enough", F.least("enough", F.min(F.least(square(F.col("one.tx"), F.col("one.ty")), reach)).over(own))).where("far <= enough")
         met = saved(met.select("point_id", "x", "y", "enough", "split", "qx", "qy"))
         end = met.where("not split").select("point_id", "x", "y", F.lit(level).alias("level"), "qx", "qy")
         ends = end if ends is None else ends.unionByName(end)
         asking = met.where("split").select("point_id", "x", "y", "enough", F.col("qx").alias("px"), F.col("qy").alias("py"))
     best = F.min(F.struct(square(F.col("tx"), F.col("ty")).alias("d"), F.col("target_id").alias("t")))
-    return ends.join(homes, ["level", "qx", "qy"]).groupBy("point_id").agg(best.alias("hit")).select("point_id", F.col("hit.t").alias("target_id"))
+    return ends.join(homes.hint("merge"), ["level", "qx", "qy"]).groupBy("point_id").agg(best.alias("hit")).select("point_id", F.col("hit.t").alias("target_id"))
 
 
 def nearest(points: DataFrame, targets: DataFrame, size: float) -> DataFrame:
@@ -171,13 +186,13 @@ def nearest(points: DataFrame, targets: DataFrame, size: float) -> DataFrame:
         around = todo.withColumn("_dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
         around = around.withColumns({"_cx": F.floor(F.col("x") / cell) + F.col("_dx"), "_cy": F.floor(F.col("y") / cell) + F.col("_dy")})
         distance = F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)
-        best = around.join(placed, ["_cx", "_cy"]).groupBy("point_id").agg(F.min(F.struct(distance.alias("d"), F.col("target_id").alias("t"))).alias("hit"))
+        best = around.join(placed.hint("merge"), ["_cx", "_cy"]).groupBy("point_id").agg(F.min(F.struct(distance.alias("d"), F.col("target_id").alias("t"))).alias("hit"))
         found = saved(best.where(F.col("hit.d") <= cell * cell).select("point_id", F.col("hit.t").alias("target_id")))
         answers = found if answers is None else answers.unionByName(found)
-        todo = saved(todo.join(found, "point_id", "left_anti"))
+        todo = saved(todo.join(found.hint("merge"), "point_id", "left_anti"))
         if todo.isEmpty():
-            return points.join(answers, "point_id", "left")
-    return points.join(answers.unionByName(descended(todo, targets)), "point_id", "left")
+            return points.join(answers.hint("merge"), "point_id", "left")
+    return points.join(answers.unionByName(descended(todo, targets)).hint("merge"), "point_id", "left")
 
 
 def centroid(ring: Column) -> tuple[Column, Column]:

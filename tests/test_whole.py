@@ -144,3 +144,15 @@ def test_blocks_without_points(spark):
     assert out == {1: (3, 7, 1990.5, [1, 2, 4], "a"), 2: (0, 0, None, [], "(Unknown)")}
     named = spark.createDataFrame([(1, 5.5, 0.5, "w"), (2, 5.1, 0.5, "v"), (3, 5.9, 0.5, "w"), (4, 0.5, 0.5, "q")], none.schema)
     assert {r.polygon_id: r.area for r in blocks.with_areas(blocks.counted(boxes, houses, 1.0), named, 1.0).collect()} == {1: "a", 2: "w"}
+
+
+def test_points_and_blocks_never_go_through_the_driver(spark):
+    """Tables whose files are small may hold millions of rows: none of them is broadcast by its estimated size."""
+    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    boxes = spark.range(3).select(F.col("id").alias("polygon_id"), F.array(F.array(corner(0.0, 0.0), corner(9.0, 0.0), corner(9.0, 9.0))).cast(spatial.RINGS).alias("rings"))
+    points = spark.range(20).select(F.col("id").alias("point_id"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(2).alias("units"), F.lit(1900).alias("year"), F.lit("a").alias("area"))
+    held = blocks.counted(boxes, points, 5.0)
+    near = spatial.nearest(points.withColumn("x", F.col("x") * 1000), points.limit(1).select(F.col("point_id").alias("target_id"), F.col("x").alias("tx"), F.col("y").alias("ty")), 5.0)
+    for frame in (held, near, spatial.flagged(points, boxes, 5.0)):
+        assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert [r.buildings for r in held.orderBy("polygon_id").collect()] == [9, 0, 0] and near.where("target_id = 0").count() == 20
