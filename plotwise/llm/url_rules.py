@@ -11,8 +11,8 @@ of all rows costs no more than any other.
 Defined cases: a null URL, or one without ``://``, has empty host and path, no tokens and the verdict ``allow``;
 repeated rows each get their row, and each counts as a labelled page; without labels nothing is mined; of equally
 confident rules the last by name is reported; other columns of the input are ignored.  Rules of up to three items are
-all found, however many items a page has; longer ones are found where they lie among the ``widest`` most telling items
-of enough bad pages, which is all of them where no bad page has more items.
+all found, however many items a page has, and so are longer ones where no bad page has more than ``widest`` items.  Where
+one has, a longer rule is found unless a part of it is a rule, which then matches what the longer one would.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ CONTRACT = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.0002, 0.3, 2.0
 MIN_COUNT = 5  # bad pages that a rule needs however few are labelled
-WIDEST = 12  # items of a page that FP-growth combines at any length; of wider pages pairs and triples are counted besides
+WIDEST = 12  # items of a page that FP-growth combines at any length; of wider pages combinations are counted besides, level by level
 
 
 def host_of(url: Column) -> Column:
@@ -97,7 +97,8 @@ def mine_rules(
     occur on the same labelled pages, so that a long URL's own tokens are one item, not a power set.  A token that is a
     rule by itself is given as such and not combined further: what its longer rules match, it matches.  The bad pages
     alone are mined, each with the ``widest`` items of the highest confidence; if a bad page has more, all pairs and
-    triples on enough bad pages are counted too.  Confidence is then counted over all pages.
+    triples on enough bad pages are counted too, and what no part decides is combined further, at any length.  Confidence
+    is then counted over all pages.
     """
     known = labelled.where("url is not null and bad is not null").select("url", "bad", tokens_of(F.col("url")).alias("tokens"))
     pages, bad = known.agg(F.count(F.lit(1)), F.count_if("bad")).first()
@@ -120,7 +121,8 @@ def mine_rules(
         model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n_baskets)).fit(baskets)
         sets = model.freqItemsets.where(F.size("items") > 1).select(F.array_sort("items").alias("items"))
         if n_wide:
-            sets = sets.union(_pairs_and_triples(held.where("bad").select("held"), least)).distinct()
+            short = cut(_pairs_and_triples(held.where("bad").select("held"), least))
+            sets = sets.union(short).union(_longer(short.where(F.size("items") == 3), held, rest, least, enough)).distinct()
         sets = cut(sets)
         several = _counted(sets, held, rest).where(enough(F.col("n_bad"), F.col("n")))
     rules = single.unionByName(several.select("items", "n", "n_bad")).select(
@@ -145,6 +147,25 @@ def _pairs_and_triples(held: DataFrame, least: int) -> DataFrame:
     return frequent.select(F.array_sort(F.array("a", "b")).alias("items")).union(triples.select(F.array_sort(F.array("a", "b", "c"))))
 
 
+def _longer(triples: DataFrame, held: DataFrame, counts: DataFrame, least: int, enough) -> DataFrame:
+    """(items): the combinations of four and more on so many bad pages of which no part of three or more is a rule.
+
+    Level by level: combinations that differ in their last item are put together if all their parts are open too, that is,
+    frequent and no rule.
+    """
+    found, size, level = triples.limit(0), 3, _counted(triples, held, counts)
+    while not (still := cut(level.where(~enough(F.col("n_bad"), F.col("n"))).select("items"))).isEmpty():
+        heads = still.select(F.slice("items", 1, size - 1).alias("head"), F.element_at("items", -1).alias("last"))
+        pairs = heads.join(heads.withColumnRenamed("last", "further").hint("merge"), "head").where("last < further")
+        made = pairs.select(F.concat("head", F.array("last", "further")).alias("items"))
+        parts = made.select("items", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part"))
+        whole = parts.join(still.select(F.col("items").alias("part")).hint("merge"), "part").groupBy("items").agg(F.count(F.lit(1)).alias("open"))
+        size += 1
+        level = cut(_counted(cut(whole.where(F.col("open") == size).select("items")), held, counts).where(F.col("n_bad") >= least))
+        found = found.union(level.select("items"))
+    return found
+
+
 def _filed(sets: DataFrame, counts: DataFrame) -> DataFrame:
     """(item, items): each combination under the rarest of its items."""
     rarest = sets.select("items", F.explode("items").alias("item")).join(counts.select("item", "n").distinct(), "item")

@@ -109,6 +109,18 @@ def test_pairs_and_triples_of_wide_pages(spark):
     assert all(abs(x - y) < 1e-9 for k in got for x, y in zip(got[k], want[k]))
 
 
+def test_long_rules_of_wide_pages(spark):
+    """Four items, and five others, that tell only together, on bad pages that more telling items fill."""
+    rng = random.Random(3)
+    filler, four, five = [f"f{chr(97 + k)}" for k in range(16)], ["wa", "wb", "wc", "wd"], ["va", "vb", "vc", "vd", "ve"]
+    rows = [((four if k % 2 else five) + rng.sample(filler, 14) + [f"own{k}"], True) for k in range(60)]
+    rows += [(rng.sample(four, 3) + rng.sample(five, 4) + rng.sample(filler, 2), False) for _ in range(1200)]
+    rules, items = url_rules.mine_rules(spark.createDataFrame([("http://h/" + "/".join(w), bad) for w, bad in rows], "url string, bad boolean"), 0.001, 0.6, 2.0, 20)
+    made = {tuple(w): "http://z/" + "/".join(w) for w in combinations(four + five, 4)} | {tuple(five): "http://z/" + "/".join(five)}
+    found = {r.url for r in url_rules.match_rules(spark.createDataFrame([(u,) for u in made.values()], "url string"), rules, items).collect()}
+    assert found == {made[tuple(four)], made[tuple(five)]}
+
+
 def rule_of(known, held, chosen, share):
     hits = [b for u, b in known if chosen <= held[u]]
     bad = sum(hits)
