@@ -128,11 +128,11 @@ def linked(points: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
     edge = lambda frame, a, b, close: frame.where(close).select(F.col(a).alias("a"), F.col(b).alias("b"))
     edges = edge(live.where("n2 = 0"), *link("low0", "low1")).union(edge(live.where("n2 > 1"), *link("low2", "high2")))
     large = live.where("n0 > 1 or n1 > 1 or n2 > 2").select(apart("place").alias("place"), "n0", "n1", "n2", "low0", "low1", "low2", "high2")
-    members = cut(places.join(large, "place").select("*", kept.alias("own")))
+    members = cut(places.join(large.hint("merge"), "place").select("*", kept.alias("own")))
     for centre, side in (("low1", 0), ("low0", 1), ("low2", 2), ("high2", 2)):
         edges = edges.union(edge(members.where(F.col("side") == side), *link("own", centre)))
     first = cut(components(edges))
-    known = members.select("place", "side", "fp", "id", "n0", "n1", "n2").join(first.withColumnRenamed("node", "id"), "id", "left")
+    known = members.select("place", "side", "fp", "id", "n0", "n1", "n2").join(first.withColumnRenamed("node", "id").hint("merge"), "id", "left")
     known = known.withColumn("component", F.coalesce("component", "id"))
     split = known.groupBy("place").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select(apart("place").alias("place"))
     # Blocks: a member goes to one block of its side, and meets every block of the other (of its own, for whole segments).
@@ -140,7 +140,7 @@ def linked(points: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
     own = F.pmod(F.xxhash64("fp"), F.when(F.col("side") == 0, blocks("n0")).when(F.col("side") == 1, blocks("n1")).otherwise(blocks("n2"))).cast("int")
     other = F.sequence(F.lit(0), F.when(F.col("side") == 0, blocks("n1")).when(F.col("side") == 1, blocks("n0")).otherwise(blocks("n2")) - 1)
     dealt = (
-        known.join(split, "place")
+        known.join(split.hint("merge"), "place")
         .select("place", "side", "fp", "component", own.alias("own"), F.explode(other).alias("other"))
         .withColumn("x", F.when(F.col("side") == 0, F.col("own")).when(F.col("side") == 1, F.col("other")).otherwise(F.least("own", "other")))
         .withColumn("y", F.when(F.col("side") == 0, F.col("other")).when(F.col("side") == 1, F.col("own")).otherwise(F.greatest("own", "other")))
@@ -153,8 +153,8 @@ def grouped(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """From (doc_id, fp): doc_id, fp, component_id, the least doc_id that links lead to."""
     points = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("id")))
     found = linked(points.where("id is not null"), radius)
-    roots = cut(points.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")))
-    return marked.join(roots, "fp").select("doc_id", "fp", "component_id")
+    roots = cut(points.join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")))
+    return marked.join(roots.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plotwise.llm import quality, simhash
+from plotwise.llm import components, quality, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -77,3 +77,12 @@ def test_simhash_long_text_and_null_ids(spark, tmp_path):
     assert (1, f"{want:016x}", 1) in out and (None, f"{want:016x}", 1) in out and len(out) == len(rows)
     assert (3, "0" * 16, 3) in out and (None, "0" * 16, 3) in out
     assert [c for i, f, c in out if i is None and f not in (f"{want:016x}", "0" * 16)] == [None]
+
+
+def test_edges_never_go_through_the_driver(spark):
+    """A round's edges are joined by sorting, however small their files are estimated."""
+    edges = spark.range(20).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    told = components._with_least(edges)
+    assert "BroadcastHashJoin" not in told._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, told.collect())) == [(k + 1, k, k) for k in range(20)]
+    assert set(components.components(edges).collect()) == {(k, 0) for k in range(21)}
