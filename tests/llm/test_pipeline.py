@@ -147,3 +147,40 @@ def test_whole_run_is_its_stages_by_hand(spark):
 
     codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
     assert got == {i: codec.digest(secrets.redact(texts[i]) or "") for i in left}
+
+
+def test_chance_meetings_make_no_family(spark, monkeypatch):
+    """Texts that share single phrases with many others, and nothing else, are not compared with each other."""
+    import random
+
+    from plotwise.llm import near_copies
+
+    rng, compared, whole = random.Random(4), [], near_copies._compared
+    phrases = [" ".join(f"p{k}w{j}" for j in range(10)) for k in range(200)]
+    rows = [(k, " ".join(rng.sample(phrases, 20))) for k in range(300)]
+    rows += [(900 + k, rows[k][1] + " and more") for k in range(3)]
+
+    def counted(members, sets):
+        compared.append(members.count())
+        return whole(members, sets)
+
+    monkeypatch.setattr(near_copies, "_compared", counted)
+    assert kept(spark, "near_dedup", rows) == sorted(rows[:300], key=str)
+    assert compared[0] <= 100  # filed under their least shingles: nearly all
+
+
+def test_alike_sets_meet():
+    """Sets of a similarity of exactly 4/5 share a place, whatever their size; sets that have little in common do not."""
+    import numpy as np
+
+    from plotwise.llm import near_copies
+
+    rng = np.random.default_rng(6)
+
+    def meet(common, all_):
+        x = rng.integers(0, 1 << 64, all_, np.uint64)
+        half = common + (all_ - common) // 2
+        return len(np.intersect1d(near_copies.places_of(np.sort(x[:half])), near_copies.places_of(np.sort(np.concatenate((x[:common], x[half:])))))) > 0
+
+    assert all(meet(4 * n, 5 * n) for n in (1, 2, 20, 2000) for _ in range(250))
+    assert sum(meet(3, 300) for _ in range(1000)) <= 2
