@@ -27,6 +27,8 @@ from .common import arrow_map, table
 
 #: Most pairs, pieces and words remembered, and the longest of these; bytes of a piece after which certain tokens are emitted.
 PAIRS, PIECES, WORDS, PIECE_BYTES, LOOKAHEAD = 1_000_000, 100_000, 300_000, 48, 1024
+#: Bytes of the beginnings of pieces after which the machine's reading is remembered, the longest first, and how many are.
+HEADS, HEADS_KEPT = (13, 9, 6), 200_000
 #: The pattern for which a blank between two words starts a piece: fixed by the public vocabulary.
 WORDS_APART = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Blank space beside blanks and line ends: fixed, as the pattern's ``\\s``.
@@ -47,11 +49,13 @@ class Transducer:
         self.spines: tuple[dict, dict] = ({}, {})
         self.halves: dict[bytes, list[bytes]] = {}
         self.own: dict[int, bool] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, dict[int, bool]] = {token: {} for token in self.tokens}  # of a token: what may stand before it
+        self.known = 0
+        self.heads: dict[bytes, tuple[int, tuple[int, ...]]] = {}
         self.numbers: dict[bytes, int] = {}
         self.states: list[bytes] = []
         self.moves: dict[int, int] = {}
-        self.ending: list[tuple] = []  # of a state: (token, length) of the tokens that end here, the longest first
+        self.ending: list[tuple] = []  # of a state: (token, length, its pairs) of the tokens that end here, the longest first
         self._number(b"")
 
     def _number(self, state: bytes) -> int:
@@ -59,7 +63,7 @@ class Transducer:
         if state not in self.numbers:
             self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.ending.append(tuple((self.ranks[state[at:]], len(state) - at) for at in range(len(state)) if state[at:] in self.ranks))
+            self.ending.append(tuple((token := self.ranks[state[at:]], len(state) - at, self.pairs[token]) for at in range(len(state)) if state[at:] in self.ranks))
         return self.numbers[state]
 
     def _move(self, key: int) -> int:
@@ -98,8 +102,7 @@ class Transducer:
 
     def _side_by_side(self, left: int, right: int) -> bool:
         """Whether no merge joins the two tokens: none comes, or is leftmost, before both of its sides go elsewhere."""
-        key = left << 32 | right
-        if (known := self.pairs.get(key)) is None:
+        if (known := self.pairs[right].get(left)) is None:
             get, known = self.ranks.get, True
             for a, made_a, gone_a in self._spine(left, True):
                 for b, made_b, gone_b in self._spine(right, False):
@@ -107,7 +110,8 @@ class Transducer:
                         when = max(rank, made_a, made_b)
                         if when < gone_a and (when < gone_b or rank == gone_b):
                             known = False
-            self.pairs[key] = known
+            self.pairs[right][left] = known
+            self.known += 1
         return known
 
     def _whole(self, token: int) -> bool:
@@ -119,16 +123,35 @@ class Transducer:
     def encode_piece(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.pairs) > PAIRS:
-            self.pairs.clear()
-        moves, ending, pairs = self.moves.get, self.ending, self.pairs.get
-        state, before, out, ends = 0, -1, [], []
-        for byte in piece:
+        if self.known > PAIRS:
+            for pairs in self.pairs.values():
+                pairs.clear()
+            self.known = 0
+        if len(self.heads) > HEADS_KEPT:
+            self.heads.clear()
+        size, state, ends, missed = 0, 0, [], []
+        for head in HEADS:
+            if head <= len(piece):
+                if (known := self.heads.get(piece[:head])) is not None:
+                    size, state, ends = head, known[0], list(known[1])
+                    break
+                missed.append(head)
+        for stop in reversed(missed):
+            state, _, ends = self._read(piece[size:stop], state, -1, ends, [])
+            self.heads[piece[:stop]] = state, tuple(ends)
+            size = stop
+        out: list[int] = []
+        _, _, ends = self._read(piece[size:], state, -1, ends, out)
+        return out + self._path(ends, len(ends))
+
+    def _read(self, data: bytes, state: int, before: int, ends: list[int], out: list[int]) -> tuple[int, int, list[int]]:
+        """Go on from a state, with the token that ends at each byte since ``before``; certain tokens go to ``out``."""
+        moves, ending, at = self.moves.get, self.ending, len(ends)
+        for byte in data:
             key = state << 8 | byte
             if (state := moves(key)) is None:
                 state = self._move(key)
-            at = len(ends)
-            for token, n in ending[state]:
+            for token, n, pairs in ending[state]:
                 if n <= at:
                     left = ends[at - n]
                 elif n == at + 1:
@@ -137,19 +160,21 @@ class Transducer:
                     continue
                 if left < 0:
                     fits = self._whole(token)
-                elif (fits := pairs(left << 32 | token)) is None:
+                elif (fits := pairs.get(left)) is None:
                     fits = self._side_by_side(left, token)
                 if fits:
                     ends.append(token)
                     break
             else:
                 raise ValueError("no token ends here")
-            if at >= LOOKAHEAD:
+            at += 1
+            if at > LOOKAHEAD:
                 done = self._certain(ends, self.states[state])
                 out += self._path(ends, done)
                 if done:
                     before, ends = ends[done - 1], ends[done:]
-        return out + self._path(ends, len(ends))
+                    at = len(ends)
+        return state, before, ends
 
     def _path(self, ends: list[int], at: int) -> list[int]:
         """The tokens of the first ``at`` bytes, found from their end."""

@@ -231,6 +231,32 @@ def test_bpe_is_tiktoken(texts):
         assert own.digest(text) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_bpe_goes_on_from_remembered_beginnings(monkeypatch):
+    """Pieces of one beginning are read from where it ends, with the same ids, also while the memory is cleared."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(5)
+    pieces = ["".join(rng.choice(["th", "er", "an", "é", "tion", "ß", "x"]) for _ in range(rng.randrange(1, 9))).encode() for _ in range(1500)]
+    monkeypatch.setattr(bpe, "HEADS", ())
+    plain = bpe.Transducer(ranks)
+    want = [plain.encode_piece(p) for p in pieces]
+    monkeypatch.setattr(bpe, "HEADS", (13, 9, 6))
+    for kept, pairs in ((200_000, 1_000_000), (20, 50)):
+        monkeypatch.setattr(bpe, "HEADS_KEPT", kept)
+        monkeypatch.setattr(bpe, "PAIRS", pairs)
+        own = bpe.Transducer(ranks)
+        assert [own.encode_piece(p) for p in pieces] == want
+        assert 0 < len(own.heads) <= kept + 3
+    read, whole = [], bpe.Transducer._read
+    monkeypatch.setattr(bpe.Transducer, "_read", lambda self, data, *rest: (read.append(len(data)), whole(self, data, *rest))[1])
+    monkeypatch.setattr(bpe, "HEADS_KEPT", 200_000)
+    own = bpe.Transducer(ranks)
+    own.encode_piece(b"thxerxanxthxyyy")
+    read.clear()
+    own.encode_piece(b"thxerxanxthxyzz")
+    assert sum(read) == 2
+
+
 def test_bpe_query(spark, folder, texts):
     import public_tokenizers
     import tiktoken
