@@ -105,3 +105,26 @@ def test_without_two_labels(spark):
     for labels, want in (([], 0.5), ([(k, 1, 1) for k in (1, 2, 3)], None)):
         scores = {r.score for r in toxicity.score(docs, toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()}
         assert len(scores) == 1 and (want is None or scores == {want})
+
+
+def test_all_labelled_documents_teach(spark, monkeypatch):
+    """Documents of a kind that comes last in any order of ids are learnt from, by several trainers, and each only once a round."""
+    rng, rows = random.Random(5), []
+    for k in range(6000):
+        toxic = k % 3 == 0
+        rows.append((k, prose(rng, 12, [rng.choice(["vile", "rotten"])] if toxic else []), int(toxic)))
+    monkeypatch.setattr(toxicity, "TRAINER", 1500)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
+    read, whole = [], toxicity._round
+
+    def counted(examples, *rest):
+        read.append((examples.rdd.getNumPartitions(), examples.count()))
+        return whole(examples, *rest)
+
+    monkeypatch.setattr(toxicity, "_round", counted)
+    model = toxicity.train(docs, labels)
+    taught = sum(zlib.crc32(str(k).encode()) % 5 != 0 for k, _, _ in rows)
+    assert set(read) == {(taught // 1500, taught)} and taught // 1500 > 1
+    told = {r.doc_id: r.predicted for r in toxicity.score(docs, model).where("held_out").collect()}
+    assert sum(told[k] == y for k, _, y in rows if k in told) >= 0.98 * len(told) > 500
