@@ -48,7 +48,8 @@ DROPPED = 0.4  # of a batch's words: what one word tells must not keep others fr
 KEPT_BACK = 5  # one document in so many is for the thresholds
 CALIBRATED = 20  # documents of each label that a language's own threshold takes
 STRETCH = 1 << 16  # places filtered at a time
-CACHE = 1 << 18  # words whose filter values a task remembers
+CACHE = 1 << 13  # words hashed at a time: what a step works on stays in the processor's cache
+LONGEST = 32  # bytes of the names that are hashed together; a beginning or an ending has no more
 # Fixed word lists: frequent function words that tell a language from the others here.
 FUNCTION_WORDS = {
     "en": "the of and to is that for with was this are".split(),
@@ -58,16 +59,18 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = list(FUNCTION_WORDS)
 _LANGUAGE_OF = {w: k for k, words in enumerate(FUNCTION_WORDS.values()) for w in words}
+_TOLD_BY = pa.array(list(_LANGUAGE_OF))
+_LANGUAGE_AT = np.array([*_LANGUAGE_OF.values(), -1])
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(starts, words, places): where each text's words start, the distinct words, and which of them stands at each place."""
     low = pc.utf8_lower(pc.fill_null(texts, ""))
     plain = pc.utf8_trim_whitespace(pc.replace_substring_regex(low, r"[^\pL\pN]+", " "))
     split = pc.split_pattern(plain, " ")
     coded = pc.dictionary_encode(split.flatten())
     starts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())]).astype(np.int64)
-    return starts, coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    return starts, coded.dictionary.cast(pa.string()), coded.indices.to_numpy().astype(np.int64)
 
 
 def parts_of(word: str) -> list[int]:
@@ -77,9 +80,61 @@ def parts_of(word: str) -> list[int]:
     return [zlib.crc32(name.encode()) % BUCKETS if name and n else -1 for name in names]
 
 
-def languages_of(starts: np.ndarray, words: list[str], places: np.ndarray) -> np.ndarray:
+def _crc_table() -> np.ndarray:
+    """What a byte makes of a CRC-32, as in zlib."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = (table >> 1) ^ (table & 1) * np.uint32(0xEDB88320)
+    return table
+
+
+_CRC_TABLE = _crc_table()
+
+
+def _crcs(data: np.ndarray, mark: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """CRC-32 of a mark and the bytes from each start to its end, a byte of all of them at a time."""
+    order = np.argsort(starts - ends, kind="stable")  # the longest first
+    at, left = starts[order], (ends - starts)[order]
+    crc = np.full(len(at), zlib.crc32(mark.encode()) ^ 0xFFFFFFFF, np.uint32)
+    for step in range(left[0] if len(left) else 0):
+        going = np.searchsorted(-left, -step)
+        now = crc[:going]
+        crc[:going] = _CRC_TABLE[(now ^ data[at[:going] + step]) & 255] ^ (now >> 8)
+    found = np.empty(len(at), np.int64)
+    found[order] = crc ^ np.uint32(0xFFFFFFFF)
+    return found
+
+
+def buckets_of(words: pa.Array) -> np.ndarray:
+    """``parts_of`` of each word, for many words at once."""
+    return np.concatenate([np.zeros((0, PARTS), np.int32), *(_buckets_of(words[k : k + CACHE]) for k in range(0, len(words), CACHE))])
+
+
+def _buckets_of(words: pa.Array) -> np.ndarray:
+    _, offsets, content = words.buffers()
+    edges = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(content, np.uint8)[edges[0] : edges[-1]] if content else np.zeros(0, np.uint8)
+    starts, ends = edges[:-1] - edges[0], edges[1:] - edges[0]
+    points = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))  # where code points start
+    first, last = np.searchsorted(points, starts), np.searchsorted(points, ends)
+    found = np.full((len(words), PARTS), -1, np.int32)
+    short = np.flatnonzero((ends > starts) & (ends - starts <= LONGEST))
+    found[short, 0] = _crcs(data, "=", starts[short], ends[short]) % BUCKETS
+    for k in np.flatnonzero(ends - starts > LONGEST):
+        found[k, 0] = zlib.crc32(b"=" + data[starts[k] : ends[k]].tobytes()) % BUCKETS
+    for column, k in enumerate((*BEGINNINGS, *ENDINGS), 1):
+        own = np.flatnonzero(last - first >= k)
+        if column <= len(BEGINNINGS):
+            crc = _crcs(data, "<", starts[own], points[first[own] + k])
+        else:
+            crc = _crcs(data, ">", points[last[own] - k], ends[own])
+        found[own, column] = crc % BUCKETS
+    return found
+
+
+def languages_of(starts: np.ndarray, words: pa.Array, places: np.ndarray) -> np.ndarray:
     """The language of each text by its function words; the number of languages if none is ahead."""
-    of_word = np.array([_LANGUAGE_OF.get(w, -1) for w in words], np.int64)[places]
+    of_word = _LANGUAGE_AT[pc.fill_null(pc.index_in(words, _TOLD_BY), -1).to_numpy()][places]
     told = np.flatnonzero(of_word >= 0)
     text = np.searchsorted(starts, told, side="right") - 1
     counts = np.bincount(text * len(LANGUAGES) + of_word[told], minlength=(len(starts) - 1) * len(LANGUAGES)).reshape(-1, len(LANGUAGES))
@@ -100,16 +155,17 @@ class Convolution:
     intercept: float = 0.0
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES) + 1))
 
-    def parts(self, words: list[str]) -> np.ndarray:
+    def parts(self, words: pa.Array) -> np.ndarray:
         """Rows of the embeddings of each word's parts."""
-        buckets = np.array([parts_of(w) for w in words], np.int64).reshape(len(words), PARTS)
+        buckets = buckets_of(words)
         return np.where(buckets < 0, len(self.embedding) - 1, self.rows[buckets])
 
     def vectors(self, parts: np.ndarray) -> np.ndarray:
-        return self.embedding[parts].sum(1)
+        return self.embedding.take(parts, axis=0).sum(1)
 
     def pieces(self, vectors: np.ndarray) -> list[list[np.ndarray]]:
-        """Of each width and place in the filter: what each word adds."""
+        """Of each width and place in the filter: what each word adds; the last row stands for no word."""
+        vectors = np.concatenate([vectors, np.zeros((1, SIZE), np.float32)])
         return [[vectors @ f[k] for k in range(width)] for width, f in zip(WIDTHS, self.filters)]
 
     def pooled(self, pieces: list[list[np.ndarray]], starts: np.ndarray, places: np.ndarray, argmax: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -121,18 +177,18 @@ class Convolution:
             b = min(a + STRETCH, len(places))
             first, last = np.searchsorted(starts, a, side="right") - 1, np.searchsorted(starts, b, side="left")
             edges = np.maximum(starts[first:last], a) - a
-            ends = np.repeat(starts[first + 1 : last + 1], np.diff(np.append(edges, b - a)))
+            at, ends = np.arange(a, b), np.repeat(starts[first + 1 : last + 1], np.diff(np.append(edges, b - a)))
+            after = [places[a:b], *(np.where(at + step < ends, places[np.minimum(at + step, len(places) - 1)], -1) for step in range(1, max(WIDTHS)))]
             for k, width in enumerate(WIDTHS):
-                value = pieces[k][0][places[a:b]]
+                value = pieces[k][0].take(after[0], axis=0)
                 for step in range(1, width):
-                    inside = np.flatnonzero(np.arange(a, b) + step < ends)
-                    value[inside] += pieces[k][step][places[inside + a + step]]
+                    value += pieces[k][step].take(after[step], axis=0)
                 cut = slice(k * FILTERS, (k + 1) * FILTERS)
                 most = np.maximum.reduceat(value, edges, axis=0)
                 if argmax:
                     for row, (x, y) in enumerate(zip(edges, np.append(edges[1:], b - a))):
-                        at = value[x:y].argmax(0)
-                        where[first + row, cut] = np.where(most[row] > best[first + row, cut], at + x + a, where[first + row, cut])
+                        top = value[x:y].argmax(0)
+                        where[first + row, cut] = np.where(most[row] > best[first + row, cut], top + x + a, where[first + row, cut])
                 best[first:last, cut] = np.maximum(best[first:last, cut], most)
         return best, where
 
@@ -146,26 +202,13 @@ class Convolution:
         return self.logits(best), languages_of(starts, words, places)
 
     def scorer(self):
-        """A function from texts to scores that remembers what words add."""
-        known: dict[str, int] = {}
-        held: list[list[np.ndarray]] = []
+        """A function from texts to scores."""
 
         def score(texts: pa.Array) -> np.ndarray:
             if not self.filters:
                 return np.full(len(texts), 1 / (1 + np.exp(-self.intercept)))
-            nonlocal held
-            starts, words, places = words_of(texts)
-            if len(known) > CACHE:
-                known.clear()
-                held = []
-            new = [w for w in words if w not in known]
-            if new or not held:
-                known.update(zip(new, range(len(known), len(known) + len(new))))
-                more = self.pieces(self.vectors(self.parts(new)))
-                held = [[np.concatenate(pair) for pair in zip(x, y)] for x, y in zip(held, more)] if held else more
-            best, _ = self.pooled(held, starts, np.array([known[w] for w in words], np.int64)[places])
-            logit = self.logits(best) - self.thresholds[languages_of(starts, words, places)]
-            return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            logits, language = self.raw(texts)
+            return 1 / (1 + np.exp(-np.clip(logits - self.thresholds[language], -30, 30)))
 
         return score
 
@@ -248,28 +291,15 @@ class Trainer:
             model.embedding[-1] = 0
 
 
-class Buckets:
-    """Buckets of words' parts, of so many words remembered."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-        self.held = np.zeros((0, PARTS), np.int32)
-
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > CACHE:
-            self.__init__()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.held = np.concatenate([self.held, np.array([parts_of(w) for w in new], np.int32)])
-        return self.held[[self.known[w] for w in words]]
-
-
 def _counted(starts: np.ndarray, places: np.ndarray, buckets: np.ndarray, docs: np.ndarray, seen: np.ndarray) -> None:
     """Adds to ``seen`` in how many of the documents each bucket is."""
+    last = np.zeros(len(seen), np.int32)  # the entry of a document's list that was the last to name the bucket
     for k in docs:
-        held = np.unique(buckets[np.unique(places[starts[k] : starts[k + 1]])])
-        seen[held[held >= 0]] += 1
+        held = buckets[np.unique(places[starts[k] : starts[k + 1]])].reshape(-1)
+        held = held[held >= 0]
+        entry = np.arange(len(held), dtype=np.int32)
+        last[held] = entry
+        seen[held[last[held] == entry]] += 1
 
 
 def _begun(kept: np.ndarray, rng: np.random.Generator) -> Convolution:
@@ -308,7 +338,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 3) -> Convolution:
         return Convolution(intercept=float(np.log((total[1] + 1) / (total[0] + 1))))
     rng = np.random.default_rng(seed)
     starts, words, places = words_of(pa.array(texts, pa.string()))
-    buckets = Buckets().of(words)
+    buckets = buckets_of(words)
     back = np.arange(len(y)) % KEPT_BACK == KEPT_BACK - 1
     seen = np.zeros(BUCKETS, np.int32)
     _counted(starts, places, buckets, np.flatnonzero(~back), seen)
@@ -371,9 +401,9 @@ def _known_parts(examples: DataFrame) -> np.ndarray:
     """The buckets that enough documents have, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, seen = Buckets(), np.zeros(BUCKETS, np.int64)
+        seen = np.zeros(BUCKETS, np.int64)
         for starts, words, places, y, back in _pieces(batches):
-            _counted(starts, places, memory.of(words), np.flatnonzero(~back), seen)
+            _counted(starts, places, buckets_of(words), np.flatnonzero(~back), seen)
         own = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen[own])], ["bucket", "n"])
 
@@ -392,11 +422,8 @@ def _round(examples: DataFrame, trainer: Trainer, rate: float, seed: tuple[int,
         model.embedding = np.zeros((len(rows), SIZE), np.float32)
         own = Trainer(model, one_in, np.random.default_rng((*seed, TaskContext.get().partitionId())))
         own.restore(rows, other)
-        memory = Buckets()
         for starts, words, places, y, back in _pieces(batches):
-            buckets = memory.of(words)
-            parts = np.where(buckets < 0, len(rows) - 1, model.rows[buckets])
-            own.learn(starts, places, parts, y, own.rng.permutation(np.flatnonzero(~back)), rate)
+            own.learn(starts, places, model.parts(words), y, own.rng.permutation(np.flatnonzero(~back)), rate)
         new_rows, new_other = own.state()
         if (new_other == other).all():
             return

@@ -128,3 +128,31 @@ def test_all_labelled_documents_teach(spark, monkeypatch):
     assert set(read) == {(taught // 1500, taught)} and taught // 1500 > 1
     told = {r.doc_id: r.predicted for r in toxicity.score(docs, model).where("held_out").collect()}
     assert sum(told[k] == y for k, _, y in rows if k in told) >= 0.98 * len(told) > 500
+
+
+def test_words_are_hashed_together(corpus, model, monkeypatch):
+    """Buckets of many words at once are those of each word by itself, and scoring and counting hash no word by itself."""
+    rng = random.Random(6)
+    words = ["", "a", "ß", "ab", "äö", "日本語", "𝒜𝒷", "x" * 31, "y" * 32, "é" * 17, "𝒜" * 8, "𝒜" * 9, "long" * 5000, *("".join(rng.choice("abñé日𝒜0") for _ in range(rng.randrange(1, 40))) for _ in range(3000))]
+    want = np.array([toxicity.parts_of(w) for w in words])
+    assert (toxicity.buckets_of(pa.array(words)) == want).all()
+    assert (toxicity.buckets_of(pa.array(["before", *words, "after"])[1:-1]) == want).all()
+    assert toxicity.buckets_of(pa.array([], pa.string())).shape == (0, toxicity.PARTS) and (toxicity.buckets_of(pa.array(["", ""])) == -1).all()
+    texts = [None, "", *(t for _, t, _ in corpus[:50])]
+    plain = [naive(model, t) for t in texts]
+    starts, found, places = toxicity.words_of(pa.array(texts))
+    docs, listed = np.arange(0, len(texts), 2), found.to_pylist()
+    counted = np.zeros(toxicity.BUCKETS, np.int64)
+    for k in docs:
+        for bucket in {b for p in places[starts[k] : starts[k + 1]] for b in toxicity.parts_of(listed[p]) if b >= 0}:
+            counted[bucket] += 1
+
+    def alone(word):
+        raise AssertionError("hashed by itself: " + word)
+
+    monkeypatch.setattr(toxicity, "parts_of", alone)
+    monkeypatch.setattr(toxicity, "CACHE", 7)
+    assert np.allclose(model.scorer()(pa.array(texts)), plain, atol=1e-4)
+    seen = np.zeros(toxicity.BUCKETS, np.int64)
+    toxicity._counted(starts, places, toxicity.buckets_of(found), docs, seen)
+    assert (seen == counted).all()
