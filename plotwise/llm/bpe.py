@@ -1,11 +1,12 @@
 """Operator 7: byte-level BPE encoding and decoding.
 
 Encoder.  The merges are a finite-state transducer over the bytes of a piece, determinised lazily.  A state is
-the set of tokens that may be under way, of which the longest start tells all; states and moves are made when first
-needed.  Reading a byte gives the one token that ends there: of those that may end in the state, the one that can
-stand beside the token before it, because no merge would join the two.  A boundary is certain as soon as the ways
-back from all places where a token under way may have begun pass through it; the tokens up to it are emitted.  The
-lookahead is bounded by the longest token.
+the set of tokens that may be under way, of which the longest start tells all, and for each of these starts the token
+that ended before it; states and moves are made when first needed.  A move tells the one token that ends at its byte:
+of those that may end in the state, the one that can stand beside the token before it, because no merge would join the
+two.  New words of many texts are read side by side, a byte of all of them at a time; a long piece is read alone.  There
+a boundary is certain as soon as the ways back from all places where a token under way may have begun pass through it;
+the tokens up to it are emitted.  The lookahead is bounded by the longest token.
 
 Decoder.  Token bytes run through a UTF-8 state machine that hands out whole characters and holds back the bytes of
 an unfinished one; bytes that are not UTF-8 pass as they are (or as U+FFFD in ``text``).
@@ -18,17 +19,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, table
+from .common import arrow_map, portions, table
 
 #: Most pairs, pieces and words remembered, and the longest of these; bytes of a piece after which certain tokens are emitted.
 PAIRS, PIECES, WORDS, PIECE_BYTES, LOOKAHEAD = 1_000_000, 100_000, 300_000, 48, 1024
 #: Bytes of the beginnings of pieces after which the machine's reading is remembered, the longest first, and how many are.
 HEADS, HEADS_KEPT = (13, 9, 6), 200_000
+#: Most states remembered between pieces, pieces whose bytes are read side by side, and bytes of texts that are encoded together.
+STATES, ABREAST, TOGETHER = 400_000, 16_384, 1 << 19
 #: The pattern for which a blank between two words starts a piece: fixed by the public vocabulary.
 WORDS_APART = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Blank space beside blanks and line ends: fixed, as the pattern's ``\\s``.
@@ -44,36 +50,55 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self.growing = {token[:n] for token in ranks for n in range(1, len(token))}
+        growing = {token[:n] for token in ranks for n in range(1, len(token))}
+        self.growing = {start: start for start in growing} | {b"": b""}
+        self.open: dict[bytes, tuple[bytes, ...]] = {}
         self.spines: tuple[dict, dict] = ({}, {})
         self.halves: dict[bytes, list[bytes]] = {}
         self.own: dict[int, bool] = {}
         self.pairs: dict[int, dict[int, bool]] = {token: {} for token in self.tokens}  # of a token: what may stand before it
         self.known = 0
+        self._forget()
+
+    def _forget(self) -> None:
         self.heads: dict[bytes, tuple[int, tuple[int, ...]]] = {}
-        self.numbers: dict[bytes, int] = {}
-        self.states: list[bytes] = []
-        self.moves: dict[int, int] = {}
-        self.ending: list[tuple] = []  # of a state: (token, length, its pairs) of the tokens that end here, the longest first
-        self._number(b"")
-
-    def _number(self, state: bytes) -> int:
-        """States are the bytes that some token starts with, as far back as they matter: a subset of open tokens."""
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.ending, self.lengths = array("i"), array("i")  # of a state: the token that ends there, and its length
+        self.moves: dict[int, int] = {}  # state << 8 | byte: the next state, for pieces read alone
+        self.slots = np.full(1 << 12, -1, np.int64), np.zeros(1 << 12, np.int32)  # the same for pieces read side by side, hashed
+        self.filled = 0
+        self._number((b"", -1), 0)
+
+    def _number(self, state: tuple, length: int) -> int:
+        """A state is the longest open start of a token, and for it and each shorter one the token that ended before it."""
         if state not in self.numbers:
             self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.ending.append(tuple((token := self.ranks[state[at:]], len(state) - at, self.pairs[token]) for at in range(len(state)) if state[at:] in self.ranks))
+            self.ending.append(state[-1])
+            self.lengths.append(length)
         return self.numbers[state]
 
+    def _starts(self, longest: bytes) -> tuple[bytes, ...]:
+        """The ends of some bytes that tokens start with, the longest first; the last is empty."""
+        if (known := self.open.get(longest)) is None:
+            known = self.open[longest] = tuple(self.growing[longest[k:]] for k in range(len(longest) + 1) if longest[k:] in self.growing)
+        return known
+
     def _move(self, key: int) -> int:
-        state = self.states[key >> 8] + bytes((key & 255,))
-        while state not in self.growing and state not in self.ranks:
-            state = state[1:]
-            if not state:
-                raise ValueError("the ranks hold no token for a byte")
-        self.moves[key] = found = self._number(state)
-        return found
+        """The one token that ends after a byte: the longest that fits beside the token before it."""
+        longest, *before = self.states[key >> 8]
+        end, token, length, on, lefts = bytes((key & 255,)), -1, 0, None, []
+        for start, left in zip(self._starts(longest), before):
+            read = start + end
+            if token < 0 and (ending := self.ranks.get(read)) is not None and (self._whole(ending) if left < 0 else self._side_by_side(left, ending)):
+                token, length = ending, len(read)
+            if read in self.growing:
+                on = on or read
+                lefts.append(left)
+        if token < 0:
+            raise ValueError("no token ends here")
+        return self._number((self.growing[on or b""], *lefts, token), length)
 
     def _merged(self, data: bytes, below: int = 1 << 60) -> list[bytes]:
         """Merge by rank, the leftmost of the lowest first; only tokens come here."""
@@ -120,13 +145,18 @@ class Transducer:
             known = self.own[token] = len(self._merged(self.tokens[token])) == 1
         return known
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
+    def _bounded(self) -> None:
         if self.known > PAIRS:
             for pairs in self.pairs.values():
                 pairs.clear()
             self.known = 0
+        if len(self.states) > STATES:
+            self._forget()
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        if (whole := self.ranks.get(piece)) is not None:
+            return [whole]
+        self._bounded()
         if len(self.heads) > HEADS_KEPT:
             self.heads.clear()
         size, state, ends, missed = 0, 0, [], []
@@ -137,44 +167,109 @@ class Transducer:
                     break
                 missed.append(head)
         for stop in reversed(missed):
-            state, _, ends = self._read(piece[size:stop], state, -1, ends, [])
+            state, ends = self._read(piece[size:stop], state, ends, [])
             self.heads[piece[:stop]] = state, tuple(ends)
             size = stop
         out: list[int] = []
-        _, _, ends = self._read(piece[size:], state, -1, ends, out)
+        _, ends = self._read(piece[size:], state, ends, out)
         return out + self._path(ends, len(ends))
 
-    def _read(self, data: bytes, state: int, before: int, ends: list[int], out: list[int]) -> tuple[int, int, list[int]]:
-        """Go on from a state, with the token that ends at each byte since ``before``; certain tokens go to ``out``."""
-        moves, ending, at = self.moves.get, self.ending, len(ends)
-        for byte in data:
-            key = state << 8 | byte
-            if (state := moves(key)) is None:
-                state = self._move(key)
-            for token, n, pairs in ending[state]:
-                if n <= at:
-                    left = ends[at - n]
-                elif n == at + 1:
-                    left = before
-                else:
-                    continue
-                if left < 0:
-                    fits = self._whole(token)
-                elif (fits := pairs.get(left)) is None:
-                    fits = self._side_by_side(left, token)
-                if fits:
-                    ends.append(token)
-                    break
-            else:
-                raise ValueError("no token ends here")
-            at += 1
-            if at > LOOKAHEAD:
-                done = self._certain(ends, self.states[state])
+    def _read(self, data: bytes, state: int, ends: list[int], out: list[int]) -> tuple[int, list[int]]:
+        """Go on from a state, with the token that ends at each byte not given out yet; certain tokens go to ``out``."""
+        moves, ending = self.moves, self.ending
+        for at in range(0, len(data), LOOKAHEAD):
+            for byte in data[at : at + LOOKAHEAD]:
+                key = state << 8 | byte
+                if (state := moves.get(key)) is None:
+                    state = moves[key] = self._move(key)
+                ends.append(ending[state])
+            if len(ends) > LOOKAHEAD:
+                done = self._certain(ends, self.states[state][0])
                 out += self._path(ends, done)
-                if done:
-                    before, ends = ends[done - 1], ends[done:]
-                    at = len(ends)
-        return state, before, ends
+                ends = ends[done:]
+                if len(self.states) > STATES:
+                    kept, length = self.states[state], self.lengths[state]
+                    self._forget()
+                    state, moves, ending = self._number(kept, length), self.moves, self.ending
+        return state, ends
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many short pieces, whose bytes are read side by side; and for each piece where its ids end."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, len(pieces), ABREAST):
+            self._bounded()
+            found.append(self._abreast(pieces[at : at + ABREAST]))
+        sizes = np.concatenate([n for _, n in found])
+        return np.concatenate([ids for ids, _ in found]), np.cumsum(sizes)
+
+    def _abreast(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data, sizes = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        offsets = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        place, going = offsets[order], np.cumsum(np.bincount(sizes)[::-1])[::-1]  # going: how many have so many bytes
+        state, states = np.zeros(len(pieces), np.int64), np.empty(len(data), np.int64)
+        for n in going[1:].tolist():
+            now = place[:n]
+            state = states[now] = self._moved(state[:n] << 8 | data[now])
+            place += 1
+        ending, lengths = np.frombuffer(self.ending, np.int32)[states].astype(np.int64), np.frombuffer(self.lengths, np.int32)[states]
+        whole = [(k, rank) for k, piece in enumerate(pieces) if (rank := self.ranks.get(piece)) is not None]
+        if whole:
+            last = (offsets + sizes - 1)[[k for k, _ in whole]]
+            ending[last], lengths[last] = [rank for _, rank in whole], sizes[[k for k, _ in whole]]
+        ends, at, begin = np.zeros(len(data), bool), offsets + sizes - 1, offsets
+        while len(at):
+            ends[at] = True
+            at = at - lengths[at]
+            more = at >= begin
+            at, begin = at[more], begin[more]
+        return ending[ends], np.add.reduceat(ends, offsets, dtype=np.int64)
+
+    def _moved(self, keys: np.ndarray) -> np.ndarray:
+        """The next states; moves that nobody made yet are made one by one."""
+        found, missing = self._looked_up(keys)
+        if len(missing):
+            new = np.unique(keys[missing])
+            made = np.array(list(map(self._move, new.tolist())), np.int32)
+            found[missing] = made[np.searchsorted(new, keys[missing])]
+            self.filled += len(new)
+            if 2 * self.filled > len(self.slots[0]):
+                held, old = self.slots[0] >= 0, self.slots
+                self.slots = np.full(4 * len(held), -1, np.int64), np.zeros(4 * len(held), np.int32)
+                self._file(old[0][held], old[1][held])
+            self._file(new, made)
+        return found
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * 0x9E3779B97F4A7C1 >> 20) & (len(self.slots[0]) - 1)
+
+    def _looked_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states, places of the keys that are not filed)."""
+        filed, values = self.slots
+        slot = self._slot(keys)
+        there = filed[slot]
+        found, missing = values[slot].astype(np.int64), []
+        left = np.flatnonzero(there != keys)
+        while len(left):
+            empty = there[left] < 0
+            missing.append(left[empty])
+            left = left[~empty]
+            slot[left] = (slot[left] + 1) & (len(filed) - 1)
+            there[left] = filed[slot[left]]
+            found[left] = values[slot[left]]
+            left = left[there[left] != keys[left]]
+        return found, np.concatenate(missing) if missing else left
+
+    def _file(self, keys: np.ndarray, states: np.ndarray) -> None:
+        """File keys that are different and not there yet, each in the first free slot from its own."""
+        filed, values = self.slots
+        slot = self._slot(keys)
+        while len(keys):
+            free = filed[slot] < 0
+            filed[slot[free]] = keys[free]
+            here = filed[slot] == keys
+            values[slot[here]] = states[here]
+            keys, states, slot = keys[~here], states[~here], (slot[~here] + 1) & (len(filed) - 1)
 
     def _path(self, ends: list[int], at: int) -> list[int]:
         """The tokens of the first ``at`` bytes, found from their end."""
@@ -184,11 +279,11 @@ class Transducer:
             at -= len(self.tokens[ends[at - 1]])
         return out[::-1]
 
-    def _certain(self, ends: list[int], state: bytes) -> int:
+    def _certain(self, ends: list[int], longest: bytes) -> int:
         """The last boundary on the ways back from every place where a token that goes on may have begun."""
         size, common = len(ends), None
-        for at in [size - len(state) + k for k in range(len(state)) if state[k:] in self.growing] + [size]:
-            way = {0}
+        for start in self._starts(longest):
+            at, way = size - len(start), {0}
             while at > 0:
                 way.add(at)
                 at -= len(self.tokens[ends[at - 1]])
@@ -272,7 +367,7 @@ class Codec:
         self.pieces, self.words = Recent(PIECES), Recent(WORDS)
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for portion in self._portions(text or "") for x in " ".join(portion).split(" ")]
+        return [int(x) for portion in self._portions(text or "", self._words(text or "")) for x in " ".join(portion).split(" ")]
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         stream = Utf8Stream()
@@ -296,44 +391,70 @@ class Codec:
         return found
 
     def _word(self, word: str) -> str:
-        """Ids of a word and the blank before it; it holds no other blank space."""
+        """Ids of a word and the blank or line end before it; it holds no other blank space. A blank is left out."""
         if (found := self.words.old.get(word)) is None:
-            core = word.rstrip(".,")
-            if core.isalpha():
-                found = self._piece(" " + core)
-                if len(core) < len(word):
-                    found += " " + self._piece(word[len(core) :])
-            else:
-                found = " ".join([self._piece(x) for x in self.split.findall(" " + word)])
+            found = " ".join([self._piece(x) for x in self.split.findall(word if word[:1] == "\n" else " " + word)])
         if len(word) <= PIECE_BYTES:
             self.words.put(word, found)
         return found
 
-    def _portions(self, text: str) -> Iterator[list[str]]:
+    def _words(self, text: str) -> list[str] | None:
+        """What stands between the blanks of a text; a word that starts a line has the line end before it.
+
+        Pieces never reach over a blank between two words, nor over the line end before one: each word can be split
+        alone. None: the text has other blank space.
+        """
+        if not text or not self.apart or text[0] in " \n" or text[-1] == " " or any(map(text.__contains__, RARE_BLANKS)):
+            return None
+        return text.replace("\n", " \n").split(" ")
+
+    def learn(self, texts: Iterable[list[str] | None]) -> None:
+        """Remember the words of some texts that are not known yet; all of their pieces are read side by side."""
+        met = set()
+        for words in filter(None, texts):
+            met.update(words[1:])
+        new = [x for x in met.difference(self.words.new) if len(x) <= PIECE_BYTES]
+        for word in (old := [x for x in new if x in self.words.old]):
+            self.words.put(word, self.words.old.get(word) or self._word(word))
+        if not (new := list(set(new).difference(old))):
+            return
+        pieces = [self.split.findall(x if x[0] == "\n" else " " + x) for x in new]
+        ids, ends = self.machine.encode_pieces([x.encode("utf-8", "surrogatepass") for found in pieces for x in found])
+        names = list(map(str, ids.tolist()))
+        stops = ends[np.cumsum(list(map(len, pieces))) - 1].tolist()
+        for word, a, b in zip(new, [0, *stops], stops):
+            self.words.put(word, " ".join(names[a:b]))
+
+    def _portions(self, text: str, words: list[str] | None) -> Iterator[list[str]]:
         """Decimal ids of some thousand pieces or words at a time."""
-        if not self.apart or text[:1] in (" ", "\n") or text[-1:] == " " or any(map(text.__contains__, RARE_BLANKS)):
+        if words is None:
             found = self.split.findall(text)
             for at in range(0, len(found), 4096):
                 yield [self._piece(x) for x in found[at : at + 4096]]
             return
-        # Pieces never reach over a blank between two words: each word, with the blank before it, can be split alone.
-        for k, line in enumerate(text.split("\n") if text else ()):
-            words = line.split(" ")
-            head = [self._piece("\n")] * (k > 0) + [self._piece(x) for x in self.split.findall(words[0])]
-            for at in range(1, max(len(words), 2), 4096):
-                known = self.words.new.get
-                if part := head * (at == 1) + [known(x) or self._word(x) for x in words[at : at + 4096]]:
-                    yield part
+        yield [self._piece(x) for x in self.split.findall(words[0])]
+        for at in range(1, len(words), 4096):
+            known = self.words.new.get
+            yield [known(x) or self._word(x) for x in words[at : at + 4096]]
+
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Of each text: number of ids, SHA-256 of the ids, SHA-256 of the bytes that they decode to."""
+        words = [self._words(text or "") for text in texts]
+        self.learn(words)
+        return [self._digest(text or "", found) for text, found in zip(texts, words)]
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids, SHA-256 of the bytes that they decode to."""
+        return self._digest(text or "", self._words(text or ""))
+
+    def _digest(self, text: str, words: list[str] | None) -> tuple[int, str, str]:
         n, ids, decoded, stream = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream()
-        for portion in self._portions(text or ""):
+        named = self.named.__getitem__
+        for portion in self._portions(text, words):
             joined = " ".join(portion)
             ids.update((" " + joined if n else joined).encode())
             tokens = joined.split(" ")
             n += len(tokens)
-            for part, _ in stream.feed(b"".join([self.named[x] for x in tokens])):
+            for part, _ in stream.feed(b"".join(map(named, tokens))):
                 decoded.update(part)
         decoded.update(stream.close())
         return n, ids.hexdigest(), decoded.hexdigest()
@@ -356,10 +477,13 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     with open(path, "rb") as f:  # a vocabulary: its size does not depend on the data
         packed = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def row(doc_id, text):
-        return (doc_id, *codec(packed.value, pattern).digest(text))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(packed.value, pattern)
+        for part in (part for batch in batches for part in portions(batch, size=TOGETHER)):
+            n, ids, decoded = zip(*own.digests(part.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return arrow_map(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:

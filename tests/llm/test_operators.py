@@ -257,6 +257,31 @@ def test_bpe_goes_on_from_remembered_beginnings(monkeypatch):
     assert sum(read) == 2
 
 
+def test_bpe_reads_words_side_by_side(texts, monkeypatch):
+    """New words of a batch are read together, with tiktoken's ids, also while words and states are forgotten."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    odd = {bytes((k,)): k for k in range(256)} | {b"abc": 256, b" abc": 257, b"bc": 258, b" b": 259, b"cab": 260}  # merges give no abc
+    rng = random.Random(6)
+    lines = ["".join(rng.choice(["th", "er", "an", "é", "tion", "ß", "x", "abc", "b", " ", " ", "\n", ".", ",", "'s", "7", "\x1c", "🙂"]) for _ in range(rng.randrange(60))) for _ in range(400)]
+    cases = [None, "", "\n", "a\n", "\nabc abc", "abc\nabc  abc", "x" * 60 + " " + "x" * 60, *lines, *(t for _, t in texts)]
+    for vocabulary in (ranks, odd):
+        theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
+        ids = [theirs.encode_ordinary(text or "") for text in cases]
+        want = [(len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()) for x, text in zip(ids, cases)]
+        for states, abreast, words in ((400_000, 16_384, 300_000), (50, 7, 20)):
+            for name, value in (("STATES", states), ("ABREAST", abreast), ("WORDS", words)):
+                monkeypatch.setattr(bpe, name, value)
+            own = bpe.Codec(vocabulary, public_tokenizers.PATTERN)
+            assert [x for at in range(0, len(cases), 100) for x in own.digests(cases[at : at + 100])] == want
+    own, alone, whole = bpe.Codec(ranks, public_tokenizers.PATTERN), [], bpe.Transducer.encode_piece
+    monkeypatch.setattr(bpe, "WORDS", 300_000)
+    monkeypatch.setattr(bpe.Transducer, "encode_piece", lambda self, piece: (alone.append(piece), whole(self, piece))[1])
+    own.digests(["first thxerxan\nthxerxon thxerxan", "first zzxerxan thxerxon"])
+    assert alone == [b"first"]
+
+
 def test_bpe_query(spark, folder, texts):
     import public_tokenizers
     import tiktoken
