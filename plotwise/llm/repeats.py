@@ -357,6 +357,7 @@ def with_places(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ids = with_places(table(spark, sf_dir, "documents"))
+    docs = docs.where("doc is not null")  # none is; the edges' join asks it, and only equal plans are dealt out together
     spans = repeated(docs).groupBy("doc").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
     joined = docs.join(spans, "doc", "left")  # the texts are dealt out once, for the edges and again here
     found = joined.mapInArrow(_kept, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -365,6 +365,13 @@ def test_repeats(spark, folder, texts, hot, monkeypatch):
         assert got[i] == (len(data), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(data, gone) if not g)).hexdigest())
 
 
+def test_repeats_deal_texts_out_once(spark, folder):
+    """Both joins of the texts read them by one plan, which Spark then deals out once."""
+    plan = repeats.op10_repeated_bytes(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet (.*?) Batched.*?(DataFilters: \[.*?\])", re.sub(r"#\d+L?", "", plan))
+    assert len(scans) == 2 and len(set(scans)) == 1
+
+
 def repeats_of(rows):
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each row, by all strings of 100 bytes in order of documents."""
     order = sorted({(i is not None, i or 0, hashlib.md5((t or "").encode()).hexdigest(), t or "") for i, t in rows})
